@@ -13,6 +13,8 @@ packed each; an empty table gives no pieces; other columns of the input are igno
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,15 +30,29 @@ from .common import prepare, written
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers; it starts afresh beyond that.
-REMEMBERED = 400_000
+#: Words, and pre-tokens of words, whose ids a Python worker remembers; it starts afresh beyond that.
+REMEMBERED, REMEMBERED_PARTS = 400_000, 700_000
+#: Words for which lower case and pre-tokens can be found without the tokenizer, and their pre-tokens.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The pattern of a tokenizer that PLAIN_PARTS follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level tokenizers write for each byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordIds:
     """Ids of a text by a tokenizer whose pre-tokens never span ASCII white space.
 
     Words between ASCII white space are encoded once each and remembered, as the tokenizer drops
-    white space and its other steps look at one word at a time.
+    white space and its other steps look at one word at a time. Of a new word in Latin letters only
+    the pre-tokens not met before are encoded, by the tokenizer's model alone; that holds for a
+    tokenizer of NFC, lower case and PATTERN. Any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -45,24 +61,47 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        patterns = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and patterns == [PATTERN, None]
+        self.letters = str.maketrans(byte_letters())
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        ids = self.parts[part] = np.asarray([t.id for t in tokens], dtype="<u2").tobytes()
+        return ids
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts.clear()
+        known, parts, other = self.known, self.parts, []
+        for word in words:
+            if word not in known:
+                text = word.decode()
+                if self.plain and PLAIN.fullmatch(text):
+                    found = PLAIN_PARTS.findall(text.lower())
+                    known[word] = b"".join([parts.get(p) or self.part(p) for p in found])
+                else:
+                    other.append(word)
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, dtype="<u2").tobytes()) for w, e in zip(part, found, strict=True))
+            known.update((w, np.asarray(e.ids, dtype="<u2").tobytes()) for w, e in zip(part, found, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
-        split = [(t or "").encode().split() for t in texts]
         out = []
-        for words in split:
+        for text in texts:
+            words = (text or "").encode().split()
             try:
                 out.append(b"".join(map(self.known.__getitem__, words)))
             except KeyError:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, substring, toxicity
+from . import bpe, packing, pst, simhash, substring, toxicity
 from .common import table
 
 
@@ -45,12 +45,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = pst.score(docs, pst.learn(pst.training_rows(docs)))
+    return scored.withColumn("held_out", toxicity.fold(F.col("doc_id"), 5) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op9_suffix_tree": op9_suffix_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
