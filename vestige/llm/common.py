@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows and bytes of one Arrow batch handed to Python; both bound a worker's memory.
 BATCH_ROWS = 2000
 BATCH_BYTES = 24 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Send the package to the Python workers and bound the Arrow batches that they get."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

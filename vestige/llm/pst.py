@@ -1,20 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree over words and their characters.
 
-A text is its words and one end. Where a token begins, the root state offers every word of the
-training texts as one symbol, and a way down to spell a word: from a start mark, its characters,
-then a stop mark. With N training tokens and T of them met once, a token w has probability
-(n(w) + T S(w)) / (N + T), S(w) being the probability of its spelling.
-
-Spelling states are contexts, the last 0 to ``DEPTH`` symbols back to the start mark. Their counts
-come from each distinct training word once, as a spelling is for words that are new or rare. A
-context stays if its next symbols diverge from those after the context one symbol shorter: if
-twice the log-likelihood ratio beats ``PENALTY`` per kind of next symbol times the log of its
-count. What stays is closed under suffixes and bounded by ``STATES``, those of the largest gain. In
-a state s a symbol c has (n(s,c) + t(s) p(c | suffix)) / (n(s) + t(s)), where t(s) counts the
-distinct symbols seen; the longest suffix state of each position scores it. Below the empty context
-stands a uniform distribution over the alphabet; symbols beyond the ``ALPHABET`` most frequent ones
-share an escape and then a uniform distribution over all code points. So every text has a
-probability.
+A text is its words and one end. The root state offers every word of the training texts as one
+symbol, and a way down to spell a word: from a start mark, its characters, then a stop mark. With N
+training tokens and T of them met once, a token w has root probability (n(w) + T S(w)) / (N + T),
+S(w) being the probability of its spelling.
+
+States of one or two words before a token refine that. A context ends in a word that is not among
+the ``FREQUENT`` most frequent (those hardly tell what follows), is met ``MET`` times at least, and
+stays if its next symbols diverge from the root's: if twice the log-likelihood ratio beats
+``PENALTY`` per kind of next symbol times the log of its count; of those that do, the ones of
+largest gain stay, up to ``WORD_PAIRS`` pairs of context and symbol. Symbols are here the common
+words, the end, and one symbol for all other words, which the root then tells apart; other words
+serve as contexts by a class of their hash. The longest suffix state of a position scores it.
+
+Spelling states are contexts of 0 to ``DEPTH`` symbols back to the start mark, counted over the
+distinct training words, kept by the same test against the context one symbol shorter, closed under
+suffixes and bounded by ``STATES``. Below the empty one stands a uniform distribution over the
+alphabet; symbols beyond the ``ALPHABET`` most frequent share an escape and then a uniform
+distribution over all code points.
+
+In every state s a symbol c has (n(s,c) + t(s) p(c | suffix)) / (n(s) + t(s)), where t(s) counts the
+distinct symbols seen. So every text has a probability.
 
 Defined results: a null text counts as empty and has the end only; a null id is not held out;
 repeated rows each give a row and each teach; without training rows words are spelled by the
@@ -48,6 +54,11 @@ PAD, START, STOP, END, ESCAPE, FIRST_CHAR = 0, 1, 2, 3, 4, 5
 CODE_POINTS = 0x110000
 #: Words that every worker knows with their counts; the others are looked up by a join.
 COMMON_WORDS = 262_144
+#: Words that are no context's last one, occurrences of a context, and pairs of context and symbol in the tree.
+FREQUENT, MET, WORD_PAIRS = 8_192, 4, 1_000_000
+#: Bits of a word's number in a context, and the numbers that aren't common words.
+WORD_BITS = 21
+OTHER, STOP_TEXT, BEGIN, FIRST_WORD = 0, 1, 2, 3
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -171,6 +182,138 @@ class Tree:
         return float(self.log10(np.asarray([(START << BITS) | END], dtype=np.int64))[0])
 
 
+OTHER_CLASSES = FIRST_WORD + COMMON_WORDS
+
+
+def word_codes(texts: list[list[bytes]], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token after a word that isn't frequent: its two words before and its symbol as one
+    code, the number of its text, and its symbol. The first token comes after two begin marks."""
+    get, hashed = numbers.get, xxhash.xxh3_64_intdigest
+    width = (1 << WORD_BITS) - OTHER_CLASSES
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 3
+    line = np.empty(int(lengths.sum()), dtype=np.int64)
+    at = 0
+    for words in texts:
+        line[at : at + 2] = BEGIN
+        found = [*map(get, words)]
+        line[at + 2 : at + 2 + len(words)] = [OTHER_CLASSES + hashed(w) % width if x is None else x for x, w in zip(found, words, strict=True)]
+        line[at + 2 + len(words)] = STOP_TEXT
+        at += len(words) + 3
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    last, before = line[1:-1], line[:-2]
+    symbol = np.where(line[2:] >= OTHER_CLASSES, OTHER, line[2:])
+    use = ((last >= FIRST_WORD + FREQUENT) | (last == BEGIN)) & (line[2:] != BEGIN)
+    code = (before << 2 * WORD_BITS) | (last << WORD_BITS) | symbol
+    return code[use], owner[2:][use], symbol[use]
+
+
+def _count_word_codes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {w.encode(): FIRST_WORD + k for k, w in enumerate(shared.value.column("word").to_pylist())}
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code >> WORD_BITS), pa.array(code), pa.array(n.astype(np.int32))], names=["context", "code", "n"])
+
+        for batch in batches:
+            code, _, _ = word_codes([words_of(t) for t in batch.column("text").to_pylist()], numbers)
+            short = code & ((1 << 2 * WORD_BITS) - 1)
+            held += [code, short]
+            size += 2 * len(code)
+            if size > 4_000_000:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
+    return run
+
+
+def _test_contexts(shared, documents: int, penalty: float, met: int):
+    """Rows come sorted by code; contexts that pass, with their pairs."""
+
+    def tested(code: np.ndarray, n: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
+        code, where = np.unique(code, return_inverse=True)
+        n = np.bincount(where, n, minlength=len(code))
+        _, first, owner, kinds = np.unique(code >> WORD_BITS, return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(owner, n)
+        p = share[code & ((1 << WORD_BITS) - 1)]
+        gain = 2 * np.bincount(owner, n * np.log(n / total[owner] / p))
+        keep = ((total >= met) & (gain > penalty * kinds * np.log(total + 1)))[owner]
+        columns = [code[keep], n[keep].astype(np.int64), *(x[owner][keep].astype(np.int64) for x in (total, kinds)), gain[owner][keep]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["code", "n", "total", "kinds", "gain"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value.column("n").to_numpy().astype(float)
+        share = np.full(OTHER_CLASSES, 1.0)
+        share[FIRST_WORD : FIRST_WORD + len(counts)] = counts
+        share[STOP_TEXT] = documents
+        tokens = share[STOP_TEXT] + counts.sum()
+        share /= max(tokens, 1.0)
+        share[OTHER] = 0.05  # what the other words have together; only the test uses it
+        code, n = np.empty(0, dtype=np.int64), np.empty(0)
+        for batch in batches:
+            code, n = np.concatenate([code, batch.column("code").to_numpy()]), np.concatenate([n, batch.column("n").to_numpy()])
+            contexts = code >> WORD_BITS
+            done = int(np.searchsorted(contexts, contexts[-1])) if len(code) else 0
+            if done:
+                yield tested(code[:done], n[:done], share)
+                code, n = code[done:], n[done:]
+        if len(code):
+            yield tested(code, n, share)
+
+    return run
+
+
+@dataclass
+class WordStates:
+    """Sorted contexts of one or two words with totals and kinds; pairs with counts."""
+
+    contexts: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray
+
+    def gains(self, codes: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """log10 of each code's probability over that of its symbol at the root."""
+        p = root.copy()
+        if not len(self.contexts):
+            return np.zeros(len(p))
+        live = np.arange(len(codes))
+        for part in (codes & ((1 << 2 * WORD_BITS) - 1), codes):
+            context = part[live] >> WORD_BITS
+            at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+            found = self.contexts[at] == context
+            live, at = live[found], at[found]
+            where = np.minimum(np.searchsorted(self.pairs, part[live]), len(self.pairs) - 1)
+            n = np.where(self.pairs[where] == part[live], self.counts[where], 0.0)
+            p[live] = (n + self.kinds[at] * p[live]) / (self.totals[at] + self.kinds[at])
+        return np.log10(p / root)
+
+
+def word_states(texts: DataFrame, shared, documents: int, pairs: int, penalty: float, met: int) -> WordStates:
+    """The states of texts; shared holds the common words with their counts."""
+    counted = texts.mapInArrow(_count_word_codes(shared), "context long, code long, n int")
+    dealt = counted.repartition("context").select("code", "n").sortWithinPartitions("code")
+    kept = dealt.mapInArrow(_test_contexts(shared, documents, penalty, met), "code long, n long, total long, kinds long, gain double")
+    kept = written(kept, "pst-contexts")
+    # contexts of largest gain, whole ones, as many as have no more than so many pairs
+    sizes = kept.groupBy(F.floor(F.log2("gain") * 16).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for r in sizes:
+        if (total := total + r["n"]) > pairs:
+            break
+        least = r["step"]
+    step = F.floor(F.log2("gain") * 16)
+    rows = kept.where(F.lit(False) if least is None else step >= least).orderBy("code").toArrow()
+    code = rows.column("code").to_numpy()
+    contexts, first = np.unique(code >> WORD_BITS, return_index=True)
+    total, kinds, n = (rows.column(c).to_numpy().astype(float) for c in ("total", "kinds", "n"))
+    return WordStates(contexts, total[first], kinds[first], code, n)
+
+
 @dataclass
 class Corpus:
     """What training gathers: counts of words as a table, numbers and the spelling tree.
@@ -183,7 +326,9 @@ class Corpus:
     tokens: int
     distinct: int
     single: int
+    common: pa.Table
     tree: Tree
+    states: WordStates
 
     def base(self, n):
         """log10 of the smoothed share of a token that occurs n times, as a number or a column."""
@@ -240,7 +385,9 @@ def grow(words: DataFrame, states: int = STATES, penalty: float = PENALTY) -> Tr
     return Tree(ids, len(ids) + 3, contexts, totals, kinds, pairs, counts)
 
 
-def learn(docs: DataFrame, text_col: str = "text", states: int = STATES, penalty: float = PENALTY) -> Corpus:
+def learn(
+    docs: DataFrame, text_col: str = "text", states: int = STATES, pairs: int = WORD_PAIRS, penalty: float = PENALTY, met: int = MET
+) -> Corpus:
     """Gather words, counts and the tree from every row of docs."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
@@ -248,8 +395,10 @@ def learn(docs: DataFrame, text_col: str = "text", states: int = STATES, penalty
     words = written(words, "pst-words")
     documents = texts.count()
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") == 1).alias("single")).first()
-    tree = grow(words, states, penalty)
-    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], tree)
+    tree, common = grow(words, states, penalty), common_words(words)
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
+    before = word_states(texts, shared, documents, pairs, penalty, met)
+    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, tree, before)
 
 
 def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
@@ -260,22 +409,29 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
         if (total := total + r["words"]) > most:
             break
         least = r["n"]
-    return words.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
+    return words.where(F.lit(False) if least is None else F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()
 
 
 class Known:
-    """For each Python worker: common words with their base and model scores."""
+    """For each Python worker: common words with their base and root scores and their numbers, and
+    the root probability of each symbol."""
 
-    held: tuple[str, dict[bytes, tuple[float, float]]] = ("", {})
+    held: tuple = ("", {}, {}, np.zeros(0))
 
     @classmethod
-    def of(cls, key: str, names: pa.Table, tree: Tree, over: float, single: int, tokens: int) -> dict[bytes, tuple[float, float]]:
+    def of(cls, key: str, names: pa.Table, tree: Tree, over: float, single: int, tokens: int, documents: int) -> tuple:
         if cls.held[0] != key:
             words, n = names.column("word").to_pylist(), names.column("n").to_numpy().astype(float)
             spelled = np.concatenate([np.zeros(0), *(tree.words(words[k : k + 20_000]) for k in range(0, len(words), 20_000))])
             base, score = np.log10((n + 0.5) / over), np.log10((n + single * 10**spelled) / (tokens + single))
-            cls.held = key, {w.encode(): (b, s) for w, b, s in zip(words, base.tolist(), score.tolist(), strict=True)}
-        return cls.held[1]
+            raw = [w.encode() for w in words]
+            root = np.full(OTHER_CLASSES, 1e-12)
+            root[FIRST_WORD : FIRST_WORD + len(n)] = 10**score
+            root[STOP_TEXT] = (documents + single * 10 ** tree.end()) / (tokens + single)
+            root[OTHER] = max(1.0 - root[FIRST_WORD : FIRST_WORD + len(n)].sum() - root[STOP_TEXT], 1e-9)
+            known = {w: (b, s) for w, b, s in zip(raw, base.tolist(), score.tolist(), strict=True)}
+            cls.held = key, known, {w: FIRST_WORD + k for k, w in enumerate(raw)}, root
+        return cls.held[1:]
 
 
 def signed_hash(word: bytes) -> int:
@@ -283,20 +439,22 @@ def signed_hash(word: bytes) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def _score(key: str, shared, over: float, single: int, tokens: int):
+def _score(key: str, shared, over: float, single: int, tokens: int, documents: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tree = shared.value
-        known = Known.of(key, names, tree, over, single, tokens)
+        names, tree, states = shared.value
+        known, numbers, root = Known.of(key, names, tree, over, single, tokens, documents)
         for batch in batches:
             n_tokens, n_known, base, score, rare = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            codes, owner, symbols = word_codes(texts, numbers)
+            gains = np.bincount(owner, states.gains(codes, root[symbols]), minlength=len(texts))
+            for words, gain in zip(texts, gains.tolist(), strict=True):
                 found = [*map(known.get, words)]
                 here = [x for x in found if x is not None]
                 n_tokens.append(len(words) + 1)
                 n_known.append(len(here))
                 base.append(math.fsum(b for b, _ in here))
-                score.append(math.fsum(s for _, s in here))
+                score.append(math.fsum(s for _, s in here) + gain)
                 rare.append([w for w, x in zip(words, found, strict=True) if x is None])
             each = [*{w for words in rare for w in words}]
             spelled = tree.words([w.decode() for w in each]).tolist()
@@ -322,13 +480,12 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
-    names = common_words(corpus.words)
     over = corpus.tokens + 0.5 * (corpus.distinct + 1)
-    # at most COMMON_WORDS words and the tree, which is bounded by STATES
-    shared = spark.sparkContext.broadcast((names, corpus.tree))
+    # at most COMMON_WORDS words and the tree, which STATES and WORD_PAIRS bound
+    shared = spark.sparkContext.broadcast((corpus.common, corpus.tree, corpus.states))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<struct<h: long, s: double>>"
-    run = _score(uuid.uuid4().hex, shared, over, max(corpus.single, 1), corpus.tokens)
+    run = _score(uuid.uuid4().hex, shared, over, max(corpus.single, 1), corpus.tokens, corpus.documents)
     found = written(rows.select("doc_id", "rid", "text").mapInArrow(run, schema), "pst-rows")
     counts = corpus.words.select(F.xxhash64("word").alias("h"), "n")
     # rows alike in id and text share their rid and would count twice
