@@ -55,7 +55,7 @@ CODE_POINTS = 0x110000
 #: Words that every worker knows with their counts; the others are looked up by a join.
 COMMON_WORDS = 262_144
 #: Words that are no context's last one, occurrences of a context, and pairs of context and symbol in the tree.
-FREQUENT, MET, WORD_PAIRS = 8_192, 4, 1_000_000
+FREQUENT, MET, WORD_PAIRS = 8_192, 2, 1_000_000
 #: Bits of a word's number in a context, and the numbers that aren't common words.
 WORD_BITS = 21
 OTHER, STOP_TEXT, BEGIN, FIRST_WORD = 0, 1, 2, 3
