@@ -34,7 +34,8 @@ WINDOW = 35
 GRAM = 8
 BASE = 0x9E3779B97F4A7C15
 FIRST, KNOWN, LEADER = 0, 1, 2
-OCCURRENCE = "h long, h2 int, state int, rid long, pos int, dealt long"
+#: h2 holds further bits of the hash and, in its two lowest bits, the state
+OCCURRENCE = "h long, h2 long, rid long, pos int"
 
 
 def batch_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +94,20 @@ def occurrences(h: np.ndarray, h2: np.ndarray, rid: np.ndarray, pos: np.ndarray)
     both = np.stack([h, h2.astype(np.uint64)])
     order = np.lexsort(both[::-1])
     same = (both[:, order[1:]] == both[:, order[:-1]]).all(axis=0)
-    state = np.full(len(h), FIRST, dtype=np.int32)
+    state = np.full(len(h), FIRST, dtype=np.int64)
     state[order[1:][same]] = KNOWN
     leads = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]])) if len(same) else np.empty(0, dtype=np.int64)
     state[order[leads]] = LEADER
-    with np.errstate(over="ignore"):
-        spread = (rid.view(np.uint64) ^ (pos.astype(np.uint64) * np.uint64(BASE))).view(np.int64)
-    dealt = np.where(state == KNOWN, spread, h.view(np.int64))
-    columns = [h.view(np.int64), h2.astype(np.int32), state, rid, pos.astype(np.int32), dealt]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "h2", "state", "rid", "pos", "dealt"])
+    # the hash of a known one is needed no more
+    main, more = np.where(state == KNOWN, 0, h.view(np.int64)), np.where(state == KNOWN, 0, h2.astype(np.int64))
+    columns = [main, more << 2 | state, rid, pos.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "h2", "rid", "pos"])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of equal hash together and sorted by it; known ones spread by their place."""
+    known = F.col("h2").bitwiseAND(F.lit(3)) == KNOWN
+    return rows.repartition(F.when(known, F.xxhash64("rid", "pos")).otherwise(F.col("h"))).sortWithinPartitions("h", "h2")
 
 
 def _anchor_rows(window: int, gram: int):
@@ -139,7 +145,7 @@ def _window_rows(window: int, gram: int):
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by hash, the places of those that occur twice or are known to."""
-    names = ("h", "h2", "state", "rid", "pos")
+    names = ("h", "h2", "rid", "pos")
     kept = {c: np.empty(0, dtype=np.int64) for c in names}  # the last row, whose next one isn't seen yet
     twice = False  # whether it equals the one before it
     for batch in batches_or_end(batches):
@@ -147,10 +153,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(rows["h"])
         if not n:
             continue
-        same = (rows["h"][1:] == rows["h"][:-1]) & (rows["h2"][1:] == rows["h2"][:-1])
+        same = (rows["h"][1:] == rows["h"][:-1]) & (rows["h2"][1:] >> 2 == rows["h2"][:-1] >> 2)
         before = np.concatenate([[twice], same])
         after = np.concatenate([same, [False]])
-        hit = before | after | (rows["state"] != FIRST)
+        hit = before | after | (rows["h2"] & 3 != FIRST)
         done = n if batch is None else n - 1
         yield pa.RecordBatch.from_arrays([pa.array(rows["rid"][:done][hit[:done]]), pa.array(rows["pos"][:done][hit[:done]].astype(np.int32))], names=["rid", "pos"])
         kept, twice = {c: v[done:] for c, v in rows.items()}, bool(before[-1])
@@ -158,14 +164,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def batches_or_end(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray] | None]:
     for batch in batches:
-        yield {c: batch.column(c).to_numpy().astype(np.int64) for c in ("h", "h2", "state", "rid", "pos")}
+        yield {c: batch.column(c).to_numpy().astype(np.int64) for c in ("h", "h2", "rid", "pos")}
     yield None
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """(rid, pos) of the occurrences whose hash occurs twice or more."""
-    dealt = rows.repartition("dealt").sortWithinPartitions("h", "h2")
-    return dealt.mapInArrow(_merge, "rid long, pos int")
+    return dealt(rows).mapInArrow(_merge, "rid long, pos int")
 
 
 def _cut(window: int, digests: bool):
@@ -225,7 +230,7 @@ class FingerprintIndex:
         if len(old) < 2:
             return
         rows = self._read("run-", OCCURRENCE)
-        rows.repartition("dealt").sortWithinPartitions("h", "h2").write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
+        dealt(rows).write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for x in old:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"), True)
@@ -245,7 +250,7 @@ class FingerprintIndex:
         if keep:
             name = uuid.uuid4().hex
             texts.write.parquet(f"{self.path}/text-{name}")
-            fresh.repartition("dealt").sortWithinPartitions("h", "h2").write.parquet(f"{self.path}/run-{name}")
+            dealt(fresh).write.parquet(f"{self.path}/run-{name}")
             fresh = self.spark.read.schema(OCCURRENCE).parquet(f"{self.path}/run-{name}")
         merged = repeated(fresh.unionByName(run) if run else fresh)
         places = merged.groupBy("rid").agg(F.collect_set("pos").alias("places"))
@@ -254,7 +259,7 @@ class FingerprintIndex:
         candidates = dealt.join(places, "rid")
         windows = repeated(candidates.mapInArrow(_window_rows(self.window, self.gram), OCCURRENCE))
         found = windows.groupBy("rid").agg(F.collect_set("pos").alias("places"))
-        judged = (dealt if store is None else batch).join(found, "rid", "left")
+        judged = (by_rid if store is None else batch).join(found, "rid", "left")
         doc_id = dict(batch.dtypes)["doc_id"]
         return judged.select("doc_id", "text", "places").mapInArrow(
             _cut(self.window, digests), f"doc_id {doc_id}, n_words long, n_removed long, kept string"
