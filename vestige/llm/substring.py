@@ -254,9 +254,9 @@ class FingerprintIndex:
             fresh = self.spark.read.schema(OCCURRENCE).parquet(f"{self.path}/run-{name}")
         merged = repeated(fresh.unionByName(run) if run else fresh)
         places = merged.groupBy("rid").agg(F.collect_set("pos").alias("places"))
-        dealt = batch.repartition("rid") if store is None else texts.unionByName(store).repartition("rid")
+        by_rid = batch.repartition("rid") if store is None else texts.unionByName(store).repartition("rid")
         # all columns go along, so that both joins read one exchange of the texts
-        candidates = dealt.join(places, "rid")
+        candidates = by_rid.join(places, "rid")
         windows = repeated(candidates.mapInArrow(_window_rows(self.window, self.gram), OCCURRENCE))
         found = windows.groupBy("rid").agg(F.collect_set("pos").alias("places"))
         judged = (by_rid if store is None else batch).join(found, "rid", "left")
