@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, packing, pst, simhash, substring, tokencount, toxicity
+from . import ann, bpe, html, iblt, packing, pst, simhash, substring, tokencount, toxicity
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
+    "op7_fingerprints": op7_fingerprints,
     "op8_html_text": op8_html_text,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_token_counts": op10_token_counts,
