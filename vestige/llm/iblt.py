@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WORDS = 24
 #: Cells of a fingerprint, a multiple of three; elements of a group in a retry.
-CELLS, GROUP = 36, 32
+CELLS, GROUP = 36, 12
 #: Rounds of peeling; each takes out all cells of one element.
 ROUNDS = 24
 PARAGRAPH = r"[^\S\n]*+(?:\S++[^\S\n]*+){1,%d}+\n?+|\s*?\n|[^\S\n]++"
@@ -61,85 +61,84 @@ def check(element: Column) -> Column:
     return F.xxhash64(element, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def place(element: Column, part: Column, width: Column) -> Column:
-    return F.pmod(F.xxhash64(element, part, width), width)
+def zero() -> Column:
+    return F.struct(*(F.lit(0).cast("long").alias(c) for c in ("n", "k", "x")))
 
 
-def cell(n: Column, k: Column, x: Column) -> Column:
-    return F.struct(n.cast("long").alias("n"), k.cast("long").alias("k"), x.cast("long").alias("x"))
+def placed(found: Column, width: Column, sign: int = 1) -> Column:
+    """Elements with their sign, check hash and cell in each of the three parts."""
+    parts = lambda e: (F.pmod(F.xxhash64(e, F.lit(j), width), width).alias(f"p{j}") for j in range(3))
+    return F.transform(found, lambda e: F.struct(F.lit(sign).cast("long").alias("n"), e.alias("k"), check(e).alias("x"), *parts(e)))
 
 
-def table(found: Column, width: Column) -> Column:
-    """Cells of the elements, three parts of ``width`` cells one after the other."""
+def added(cell: Column, items: Column) -> Column:
+    return F.aggregate(
+        items,
+        cell,
+        lambda a, e: F.struct((a["n"] + e["n"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["x"].bitwiseXOR(e["x"]).alias("x")),
+    )
 
-    def part(j: Column) -> Column:
-        placed = F.transform(found, lambda e: F.struct(e.alias("e"), place(e, j, width).alias("p")))
 
-        def cells(all_: Column) -> Column:
-            def one(c: Column) -> Column:
-                inside = F.filter(all_, lambda e: e["p"] == c)
-                return F.aggregate(
-                    inside,
-                    cell(F.lit(0), F.lit(0), F.lit(0)),
-                    lambda a, e: cell(a["n"] + 1, a["k"].bitwiseXOR(e["e"]), a["x"].bitwiseXOR(check(e["e"]))),
-                )
+def tabulate(items: Column, width: Column) -> Column:
+    """Cells of placed elements, as three arrays c0, c1 and c2 of ``width`` cells."""
 
-            return F.transform(F.sequence(F.lit(0).cast("long"), width - 1), one)
+    def part(j: int) -> Column:
+        cells = F.sequence(F.lit(0).cast("long"), width - 1)
+        return F.transform(cells, lambda c: added(zero(), F.filter(items, lambda e: e[f"p{j}"] == c))).alias(f"c{j}")
 
-        return let(placed, cells)
+    return F.struct(*(part(j) for j in range(3)))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")), part))
+
+def table(found: Column, width: Column) -> Column:
+    """The table of a set."""
+    return let(placed(found, width), lambda items: tabulate(items, width))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["x"].bitwiseXOR(y["x"])))
+    def less(x: Column, y: Column) -> Column:
+        return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["x"].bitwiseXOR(y["x"]).alias("x"))
+
+    return F.struct(*(F.zip_with(a[f"c{j}"], b[f"c{j}"], less).alias(f"c{j}") for j in range(3)))
 
 
 def peeled(difference: Column, width: Column) -> Column:
     """How many elements a difference of two tables holds; null where peeling fails."""
 
     def pure(cells: Column) -> Column:
-        alone = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (check(c["k"]) == c["x"]))
-        return F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
+        """What to add to take out the elements that are alone in a cell."""
+        every = F.concat(*(F.filter(cells[f"c{j}"], lambda c: (F.abs(c["n"]) == 1) & (check(c["k"]) == c["x"])) for j in range(3)))
+        parts = lambda c: (F.pmod(F.xxhash64(c["k"], F.lit(j), width), width).alias(f"p{j}") for j in range(3))
+        return F.transform(F.array_distinct(every), lambda c: F.struct((-c["n"]).alias("n"), c["k"].alias("k"), c["x"].alias("x"), *parts(c)))
 
     def take(state: Column, alone: Column) -> Column:
-        placed = F.transform(
-            alone,
-            lambda p: F.struct(
-                p["n"].alias("n"), p["k"].alias("k"), check(p["k"]).alias("x"), *(place(p["k"], F.lit(j).cast("long"), width).alias(f"p{j}") for j in range(3))
-            ),
-        )
-
-        def without(all_: Column) -> Column:
-            def one(c: Column, i: Column) -> Column:
-                j, at = F.floor(i / width), F.pmod(i.cast("long"), width)
-                own = F.filter(all_, lambda p: F.when(j == 0, p["p0"]).when(j == 1, p["p1"]).otherwise(p["p2"]) == at)
-                return F.aggregate(own, c, lambda a, p: cell(a["n"] - p["n"], a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"])))
+        def part(j: int) -> Column:
+            return F.transform(state["cells"][f"c{j}"], lambda c, i: added(c, F.filter(alone, lambda e: e[f"p{j}"] == i))).alias(f"c{j}")
 
-            return F.transform(state["cells"], one)
-
-        return F.struct(
-            let(placed, without).alias("cells"), (state["found"] + F.size(alone)).cast("long").alias("found"), F.lit(True).alias("live")
-        )
+        cells = F.struct(*(part(j) for j in range(3)))
+        return F.struct(cells.alias("cells"), (state["found"] + F.size(alone)).cast("long").alias("found"), F.lit(True).alias("live"))
 
     def stop(state: Column) -> Column:
-        return F.struct(state["cells"].alias("cells"), state["found"].cast("long").alias("found"), F.lit(False).alias("live"))
+        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("live"))
 
     def step(state: Column, _: Column) -> Column:
-        return F.when(
-            state["live"], let(pure(state["cells"]), lambda alone: F.when(F.size(alone) == 0, stop(state)).otherwise(take(state, alone)))
-        ).otherwise(state)
+        more = let(pure(state["cells"]), lambda alone: F.when(F.size(alone) == 0, stop(state)).otherwise(take(state, alone)))
+        return F.when(state["live"], more).otherwise(state)
 
     def finish(state: Column) -> Column:
-        return F.when(F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["x"] == 0)), state["found"])
+        empty = [F.forall(state["cells"][f"c{j}"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["x"] == 0)) for j in range(3)]
+        return F.when(empty[0] & empty[1] & empty[2], state["found"])
 
     start = F.struct(difference.alias("cells"), F.lit(0).cast("long").alias("found"), F.lit(True).alias("live"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
 
 
 def differing(a: Column, b: Column, width: Column) -> Column:
-    """Elements in which two sets differ, by tables of three times width cells; null on failure."""
-    return peeled(subtract(table(a, width), table(b, width)), width)
+    """Elements in which two sets differ, by tables of three times width cells; null on failure.
+
+    Both tables are added up in one, with the second's signs reversed; that is their difference.
+    """
+    items = F.concat(placed(a, width), placed(b, width, -1))
+    return let(items, lambda all_: peeled(tabulate(all_, width), width))
 
 
 def retried(a: Column, b: Column) -> Column:
@@ -175,15 +174,9 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
 
 def written_out(cells: Column) -> Column:
     """Cells as lowercase hexadecimal digits: 4 of the number, 16 and 8 of the xors."""
-    return F.lower(
-        F.array_join(
-            F.transform(
-                cells,
-                lambda c: F.concat(F.right(F.lpad(F.hex(c["n"]), 16, "0"), F.lit(4)), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["x"]), 8, "0")),
-            ),
-            "",
-        )
-    )
+    digits = lambda c, n: F.right(F.lpad(F.hex(c), 16, "0"), F.lit(n))
+    every = F.concat(*(cells[f"c{j}"] for j in range(3)))
+    return F.lower(F.array_join(F.transform(every, lambda c: F.concat(digits(c["n"], 4), digits(c["k"], 16), digits(c["x"], 8))), ""))
 
 
 def sketch(text: Column) -> Column:
