@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, row_key, written
 from .components import components
 
 RADIUS = 3
@@ -151,6 +152,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long").distinct()
 
 
+def classes(marked: DataFrame) -> DataFrame:
+    """(fp, component, component_id, n_links) of every distinct fingerprint of (doc_id, fp).
+
+    component is the least fingerprint of the component.
+    """
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    edges = written(links(distinct), "simhash-links")
+    labels = components(edges)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of a join with it are dealt anew and a fingerprint of many copies can be split
+    found = linked.join(smallest, "component").join(ends, "fp", "left").select("fp", "component", "component_id", "n_links")
+    return written(found, "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links) of every row.
 
@@ -162,20 +179,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids are kept and never a component's smallest id unless it has no other; repeated rows
     each give a row; an empty table gives none; other columns of the input are ignored.
     """
-    from .common import written
-
     marked = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = written(links(distinct), "simhash-links")
-    labels = components(edges)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    # written, so that both sides of the last join are dealt anew and a fingerprint of many copies can be split
-    classes = written(linked.join(smallest, "component").join(ends, "fp", "left").select("fp", "component_id", "n_links"), "simhash-classes")
-    return marked.join(classes, "fp").select(
+    return marked.join(classes(marked), "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the smallest id.
+
+    Of rows of equal id one stays, and a null id only where a component has no other.
+    """
+    key = row_key(F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.struct(key.alias("row"), F.col(id_col).alias("id")).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = written(fingerprints(keyed, "doc_id", "text", shingle).select("doc_id.*", "fp"), "simhash-rows")
+    groups = classes(marked.select(F.col("row").alias("doc_id"), "fp")).select("fp", "component")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    first = marked.join(groups, "fp").groupBy("component").agg(least.alias("first")).select(F.col("first.row").alias("kept_row"))
+    stay = docs.withColumn("kept_row", key).join(first, "kept_row", "left_semi")
+    one = W.partitionBy("kept_row").orderBy("kept_row")
+    return stay.withColumn("kept_number", F.row_number().over(one)).where("kept_number = 1").select(*docs.columns)

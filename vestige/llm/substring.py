@@ -173,7 +173,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     return dealt(rows).mapInArrow(_merge, "rid long, pos int")
 
 
-def _cut(window: int, digests: bool):
+def _cut(window: int, digests: bool, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
@@ -195,9 +195,9 @@ def _cut(window: int, digests: bool):
                 n_removed.append(removed)
                 # a text that loses nothing stays as it is where texts are asked for
                 kept.append(hashlib.sha256(out).hexdigest() if digests else text if not removed else out.decode())
+            own = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                [*own, *(batch.column(c) for c in carried)], names=["doc_id", "n_words", "n_removed", "kept", *carried]
             )
 
     return run
@@ -235,14 +235,16 @@ class FingerprintIndex:
         for x in old:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"), True)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: bool = True) -> DataFrame:
+    def add(
+        self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: bool = True, carry: tuple[str, ...] = ()
+    ) -> DataFrame:
         """(doc_id, n_words, n_removed, kept) of the batch; kept is text, or its SHA-256 digest.
 
         With ``keep`` the batch's fingerprints and texts stay for later batches; without, the
-        index is as before.
+        index is as before. Columns in ``carry`` come along as carried_0, carried_1, ...
         """
         prepare(self.spark)
-        batch = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        batch = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
         batch = batch.withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
         texts = batch.select("rid", "text")
         fresh = texts.mapInArrow(_anchor_rows(self.window, self.gram), OCCURRENCE)
@@ -260,12 +262,28 @@ class FingerprintIndex:
         windows = repeated(candidates.mapInArrow(_window_rows(self.window, self.gram), OCCURRENCE))
         found = windows.groupBy("rid").agg(F.collect_set("pos").alias("places"))
         judged = (by_rid if store is None else batch).join(found, "rid", "left")
-        doc_id = dict(batch.dtypes)["doc_id"]
-        return judged.select("doc_id", "text", "places").mapInArrow(
-            _cut(self.window, digests), f"doc_id {doc_id}, n_words long, n_removed long, kept string"
-        )
+        kinds, carried = dict(batch.dtypes), [f"carried_{k}" for k in range(len(carry))]
+        schema = f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept string"
+        schema = ", ".join([schema, *(f"{c} {kinds[c]}" for c in carried)])
+        return judged.select("doc_id", "text", "places", *carried).mapInArrow(_cut(self.window, digests, carried), schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digests: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row, judged against all rows of the input."""
     return FingerprintIndex(docs.sparkSession, window=window).add(docs, id_col, text_col, digests, keep=False)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """All rows of docs with all their columns, the text less its repeated words.
+
+    A text that loses nothing stays as it is; another one's words are joined by single spaces, and
+    its number of characters in ``chars_col``, if docs has that column, is counted anew.
+    """
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    index = FingerprintIndex(docs.sparkSession, window=window)
+    out = index.add(docs, id_col, text_col, keep=False, carry=others)
+    columns = {id_col: F.col("doc_id"), text_col: F.col("kept")} | {c: F.col(f"carried_{k}") for k, c in enumerate(others)}
+    if chars_col in others:
+        anew = F.length("kept").cast(docs.schema[chars_col].dataType)
+        columns[chars_col] = F.when(F.col("n_removed") > 0, anew).otherwise(columns[chars_col])
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
