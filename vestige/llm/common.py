@@ -11,7 +11,7 @@ from ..shipping import ship
 
 #: Rows and bytes of one Arrow batch handed to Python; both bound a worker's memory.
 BATCH_ROWS = 2000
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -55,7 +55,7 @@ CODE_POINTS = 0x110000
 #: Words that every worker knows with their counts; the others are looked up by a join.
 COMMON_WORDS = 262_144
 #: Words that are no context's last one, occurrences of a context, and pairs of context and symbol in the tree.
-FREQUENT, MET, WORD_PAIRS = 8_192, 2, 1_000_000
+FREQUENT, MET, WORD_PAIRS = 8_192, 4, 1_000_000
 #: Bits of a word's number in a context, and the numbers that aren't common words.
 WORD_BITS = 21
 OTHER, STOP_TEXT, BEGIN, FIRST_WORD = 0, 1, 2, 3
@@ -398,6 +398,7 @@ def learn(
     tree, common = grow(words, states, penalty), common_words(words)
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
     before = word_states(texts, shared, documents, pairs, penalty, met)
+    shared.destroy()  # what used it is written
     return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, tree, before)
 
 
@@ -421,6 +422,7 @@ class Known:
     @classmethod
     def of(cls, key: str, names: pa.Table, tree: Tree, over: float, single: int, tokens: int, documents: int) -> tuple:
         if cls.held[0] != key:
+            cls.held = ("", {}, {}, np.zeros(0))  # gone before the next is made
             words, n = names.column("word").to_pylist(), names.column("n").to_numpy().astype(float)
             spelled = np.concatenate([np.zeros(0), *(tree.words(words[k : k + 20_000]) for k in range(0, len(words), 20_000))])
             base, score = np.log10((n + 0.5) / over), np.log10((n + single * 10**spelled) / (tokens + single))
@@ -487,6 +489,7 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
     schema = f"doc_id {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<struct<h: long, s: double>>"
     run = _score(uuid.uuid4().hex, shared, over, max(corpus.single, 1), corpus.tokens, corpus.documents)
     found = written(rows.select("doc_id", "rid", "text").mapInArrow(run, schema), "pst-rows")
+    shared.destroy()  # or workers would keep it
     counts = corpus.words.select(F.xxhash64("word").alias("h"), "n")
     # rows alike in id and text share their rid and would count twice
     pieces = found.groupBy("rid").agg(F.first("rare").alias("rare")).select("rid", F.explode("rare").alias("r")).select("rid", "r.*")
