@@ -1,30 +1,23 @@
-"""Language-model scoring with a probabilistic suffix tree over words and their characters.
+"""Language-model scoring with a probabilistic suffix tree over words.
 
-A text is its words and one end. The root state offers every word of the training texts as one
-symbol, and a way down to spell a word: from a start mark, its characters, then a stop mark. With N
-training tokens and T of them met once, a token w has root probability (n(w) + T S(w)) / (N + T),
-S(w) being the probability of its spelling.
+A text is its words and one end. Symbols are the words of the training texts, the end, and one
+symbol that all words unknown to training share, as in the base score. With N training tokens and T
+of them met once, the root gives a known token w the probability n(w) / (N + T) and the unknown
+symbol T / (N + T).
 
 States of one or two words before a token refine that. A context ends in a word that is not among
 the ``FREQUENT`` most frequent (those hardly tell what follows), is met ``MET`` times at least, and
 stays if its next symbols diverge from the root's: if twice the log-likelihood ratio beats
 ``PENALTY`` per kind of next symbol times the log of its count; of those that do, the ones of
-largest gain stay, up to ``WORD_PAIRS`` pairs of context and symbol. Symbols are here the common
-words, the end, and one symbol for all other words, which the root then tells apart; other words
-serve as contexts by a class of their hash. The longest suffix state of a position scores it.
-
-Spelling states are contexts of 0 to ``DEPTH`` symbols back to the start mark, counted over the
-distinct training words, kept by the same test against the context one symbol shorter, closed under
-suffixes and bounded by ``STATES``. Below the empty one stands a uniform distribution over the
-alphabet; symbols beyond the ``ALPHABET`` most frequent share an escape and then a uniform
-distribution over all code points.
-
-In every state s a symbol c has (n(s,c) + t(s) p(c | suffix)) / (n(s) + t(s)), where t(s) counts the
-distinct symbols seen. So every text has a probability.
+largest gain stay, up to ``WORD_PAIRS`` pairs of context and symbol. Next symbols are here the
+common words, the end, and one symbol for all other words, which the root then tells apart; other
+words serve as contexts by a class of their hash. In a state s a symbol c has (n(s,c) + t(s) p(c |
+suffix)) / (n(s) + t(s)), where t(s) counts the distinct symbols seen and p(. | suffix) is the state
+without the first word, or the root. The longest suffix state of a position scores it.
 
 Defined results: a null text counts as empty and has the end only; a null id is not held out;
-repeated rows each give a row and each teach; without training rows words are spelled by the
-uniform distribution; other columns of the input are ignored.
+repeated rows each give a row and each teach; without training rows every token is unknown and has
+probability one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,18 +37,11 @@ from pyspark.sql import functions as F
 from .common import prepare, row_key, written
 from .toxicity import fold
 
-DEPTH = 6
-STATES = 150_000
 PENALTY = 1.0
-#: Bits of a symbol; a context of DEPTH symbols and the next one fit into 63 bits.
-BITS = 9
-ALPHABET = 500
-PAD, START, STOP, END, ESCAPE, FIRST_CHAR = 0, 1, 2, 3, 4, 5
-CODE_POINTS = 0x110000
 #: Words that every worker knows with their counts; the others are looked up by a join.
 COMMON_WORDS = 262_144
 #: Words that are no context's last one, occurrences of a context, and pairs of context and symbol in the tree.
-FREQUENT, MET, WORD_PAIRS = 8_192, 4, 1_000_000
+FREQUENT, MET, WORD_PAIRS = 4_096, 4, 1_000_000
 #: Bits of a word's number in a context, and the numbers that aren't common words.
 WORD_BITS = 21
 OTHER, STOP_TEXT, BEGIN, FIRST_WORD = 0, 1, 2, 3
@@ -84,104 +70,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def spell(words: list[str], ids: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every position of every word: its context and next symbol as one code, the number of its
-    word, and whether the symbol is an escape. Contexts reach back to the start mark."""
-    points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
-    distinct, where = np.unique(points, return_inverse=True)
-    symbols = np.asarray([ids.get(int(p), ESCAPE) for p in distinct], dtype=np.uint64)[where]
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths + 2)  # with start and stop marks
-    line = np.full(int(ends[-1]) if len(words) else 0, START, dtype=np.uint64)
-    line[ends - 1] = STOP
-    inside = np.ones(len(line), dtype=bool)
-    inside[ends - 1] = inside[ends - lengths - 2] = False
-    line[inside] = symbols
-    place = np.arange(len(line)) - np.repeat(ends - lengths - 2, lengths + 2)
-    code = np.zeros(len(line), dtype=np.uint64)
-    for back in range(DEPTH, -1, -1):
-        part = np.zeros(len(line), dtype=np.uint64)
-        part[back:] = line[: len(line) - back]
-        code = (code << np.uint64(BITS)) | np.where(place >= back, part, np.uint64(PAD))
-    spelled = place > 0
-    owner = np.repeat(np.arange(len(words)), lengths + 2)
-    return code[spelled].view(np.int64), owner[spelled], (line == ESCAPE)[spelled]
-
-
-def _count_codes(ids: dict[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def rows() -> pa.RecordBatch:
-            code, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.zeros(len(code), dtype=np.int64)
-            np.add.at(n, where, np.concatenate([w for _, w in held]))
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-
-        for batch in batches:
-            code, _, _ = spell(batch.column("word").to_pylist(), ids)
-            held.append((code, np.ones(len(code), dtype=np.int64)))
-            if sum(len(c) for c, _ in held) > 2_000_000:
-                yield rows()
-                held = []
-        if held:
-            yield rows()
-
-    return run
-
-
-@dataclass
-class Tree:
-    """Sorted contexts, with counts of what follows, for each depth; pairs hold context and symbol."""
-
-    ids: dict[int, int]
-    alphabet: int
-    contexts: list[np.ndarray]
-    totals: list[np.ndarray]
-    kinds: list[np.ndarray]
-    pairs: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's symbol after its context."""
-        low = np.uint64(BITS)
-        codes = codes.view(np.uint64)
-        p = np.full(len(codes), 1.0 / self.alphabet)
-        live = np.arange(len(codes))
-        for depth in range(DEPTH + 1):
-            mask = np.uint64((1 << BITS * (depth + 1)) - 1)
-            pair = codes[live] & mask
-            context = pair >> low
-            known = self.contexts[depth]
-            at = np.searchsorted(known, context)
-            found = at < len(known)
-            found[found] = known[at[found]] == context[found]
-            if depth:  # a context that would reach before the start mark is a shorter one
-                found &= (context >> np.uint64(BITS * (depth - 1))) != PAD
-            live, at, pair = live[found], at[found], pair[found]
-            if not len(live):
-                break
-            held = self.pairs[depth]
-            where = np.minimum(np.searchsorted(held, pair), len(held) - 1)
-            n = np.where(held[where] == pair, self.counts[depth][where], 0)
-            total, kinds = self.totals[depth][at], self.kinds[depth][at]
-            p[live] = (n + kinds * p[live]) / (total + kinds)
-        return np.log10(p)
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """log10 of the probability of each word, its stop mark included."""
-        if not words:
-            return np.zeros(0)
-        code, owner, escaped = spell(words, self.ids)
-        distinct, where = np.unique(code, return_inverse=True)
-        each = self.log10(distinct)[where] - escaped * math.log10(CODE_POINTS)
-        return np.bincount(owner, each, minlength=len(words))
-
-    def end(self) -> float:
-        """That of the end in place of a spelling's first character."""
-        return float(self.log10(np.asarray([(START << BITS) | END], dtype=np.int64))[0])
-
-
 OTHER_CLASSES = FIRST_WORD + COMMON_WORDS
 
 
@@ -316,7 +204,7 @@ def word_states(texts: DataFrame, shared, documents: int, pairs: int, penalty: f
 
 @dataclass
 class Corpus:
-    """What training gathers: counts of words as a table, numbers and the spelling tree.
+    """What training gathers: counts of words as a table, numbers and the tree's states.
 
     tokens counts all training tokens, distinct the different ones, single those met once.
     """
@@ -327,7 +215,6 @@ class Corpus:
     distinct: int
     single: int
     common: pa.Table
-    tree: Tree
     states: WordStates
 
     def base(self, n):
@@ -335,71 +222,29 @@ class Corpus:
         over = self.tokens + 0.5 * (self.distinct + 1)
         return math.log10((n + 0.5) / over) if isinstance(n, int) else F.log10((n + F.lit(0.5)) / F.lit(over))
 
-    def token(self, n, spelled):
-        """log10 of a token's probability from its count and the log10 of its spelling's."""
-        weight, total = float(max(self.single, 1)), float(self.tokens + max(self.single, 1))
+    def root(self, n):
+        """log10 of a token's probability at the root from its count, as a number or a column."""
+        unknown, total = max(self.single, 1), self.tokens + max(self.single, 1)
         if isinstance(n, int):
-            return math.log10((n + weight * 10**spelled) / total) if n else math.log10(weight / total) + spelled
-        new = F.lit(math.log10(weight / total)) + spelled
-        return F.when(n > 0, F.log10((n + weight * F.pow(F.lit(10.0), spelled)) / total)).otherwise(new)
-
-
-def grow(words: DataFrame, states: int = STATES, penalty: float = PENALTY) -> Tree:
-    """The spelling tree from a table of distinct words."""
-    letters = words.select(F.explode(F.split("word", "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
-    top = letters.where("letter != ''").orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()
-    ids = {ord(r["letter"]): FIRST_CHAR + k for k, r in enumerate(top) if len(r["letter"]) == 1}
-    codes = words.select("word").mapInArrow(_count_codes(ids), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    codes = written(codes, "pst-codes")
-    kept, parent = [], None
-    for depth in range(DEPTH + 1):
-        mask = (1 << BITS * (depth + 1)) - 1
-        pairs = codes.select(F.col("code").bitwiseAND(F.lit(mask)).alias("pair"), "n")
-        if depth:
-            pairs = pairs.where(F.shiftright("pair", BITS * depth) != PAD)
-        pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("pair", BITS))
-        if depth:
-            shorter = (1 << BITS * depth) - 1
-            sizes = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-            above = parent.select(F.col("pair").alias("up"), F.col("n").alias("up_n"), F.col("total").alias("up_total"))
-            # an inner join: only contexts under a state of the depth before can be states
-            tested = pairs.join(sizes, "context").withColumn("up", F.col("pair").bitwiseAND(F.lit(shorter))).join(above, "up")
-            ratio = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / (F.col("up_n") / F.col("up_total")))) * 2
-            gains = tested.groupBy("context").agg(ratio.alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-            states_now = gains.where(F.col("gain") > penalty * F.col("kinds") * F.log(F.col("total") + 1))
-            states_now = states_now.orderBy(F.desc("gain"), "context").limit(states // DEPTH)
-            pairs = pairs.join(states_now.select("context", "total", "kinds"), "context")
-        else:
-            sizes = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-            pairs = pairs.join(sizes, "context")
-        parent = written(pairs.select("pair", "context", "n", "total", "kinds"), "pst-states")
-        kept.append(parent.orderBy("pair").toArrow())
-    contexts, totals, kinds = [], [], []
-    for rows in kept:
-        c, first = np.unique(rows.column("context").to_numpy(), return_index=True)
-        contexts.append(c.view(np.uint64))
-        totals.append(rows.column("total").to_numpy()[first].astype(float))
-        kinds.append(rows.column("kinds").to_numpy()[first].astype(float))
-    pairs = [rows.column("pair").to_numpy().view(np.uint64) for rows in kept]
-    counts = [rows.column("n").to_numpy().astype(float) for rows in kept]
-    return Tree(ids, len(ids) + 3, contexts, totals, kinds, pairs, counts)
+            return math.log10((n or unknown) / total)
+        return F.log10(F.when(n > 0, n).otherwise(F.lit(unknown)) / F.lit(float(total)))
 
 
 def learn(
-    docs: DataFrame, text_col: str = "text", states: int = STATES, pairs: int = WORD_PAIRS, penalty: float = PENALTY, met: int = MET
+    docs: DataFrame, text_col: str = "text", pairs: int = WORD_PAIRS, penalty: float = PENALTY, met: int = MET
 ) -> Corpus:
-    """Gather words, counts and the tree from every row of docs."""
+    """Gather words, counts and states from every row of docs."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
     words = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = written(words, "pst-words")
     documents = texts.count()
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") == 1).alias("single")).first()
-    tree, common = grow(words, states, penalty), common_words(words)
+    common = common_words(words)
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
     before = word_states(texts, shared, documents, pairs, penalty, met)
     shared.destroy()  # what used it is written
-    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, tree, before)
+    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, before)
 
 
 def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
@@ -420,16 +265,16 @@ class Known:
     held: tuple = ("", {}, {}, np.zeros(0))
 
     @classmethod
-    def of(cls, key: str, names: pa.Table, tree: Tree, over: float, single: int, tokens: int, documents: int) -> tuple:
+    def of(cls, key: str, names: pa.Table, over: float, single: int, tokens: int, documents: int) -> tuple:
         if cls.held[0] != key:
             cls.held = ("", {}, {}, np.zeros(0))  # gone before the next is made
             words, n = names.column("word").to_pylist(), names.column("n").to_numpy().astype(float)
-            spelled = np.concatenate([np.zeros(0), *(tree.words(words[k : k + 20_000]) for k in range(0, len(words), 20_000))])
-            base, score = np.log10((n + 0.5) / over), np.log10((n + single * 10**spelled) / (tokens + single))
+            base, score = np.log10((n + 0.5) / over), np.log10(n / (tokens + single))
             raw = [w.encode() for w in words]
             root = np.full(OTHER_CLASSES, 1e-12)
             root[FIRST_WORD : FIRST_WORD + len(n)] = 10**score
-            root[STOP_TEXT] = (documents + single * 10 ** tree.end()) / (tokens + single)
+            root[STOP_TEXT] = documents / (tokens + single)
+            root[STOP_TEXT] = max(root[STOP_TEXT], 1e-12)
             root[OTHER] = max(1.0 - root[FIRST_WORD : FIRST_WORD + len(n)].sum() - root[STOP_TEXT], 1e-9)
             known = {w: (b, s) for w, b, s in zip(raw, base.tolist(), score.tolist(), strict=True)}
             cls.held = key, known, {w: FIRST_WORD + k for k, w in enumerate(raw)}, root
@@ -443,8 +288,8 @@ def signed_hash(word: bytes) -> int:
 
 def _score(key: str, shared, over: float, single: int, tokens: int, documents: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tree, states = shared.value
-        known, numbers, root = Known.of(key, names, tree, over, single, tokens, documents)
+        names, states = shared.value
+        known, numbers, root = Known.of(key, names, over, single, tokens, documents)
         for batch in batches:
             n_tokens, n_known, base, score, rare = [], [], [], [], []
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
@@ -458,16 +303,13 @@ def _score(key: str, shared, over: float, single: int, tokens: int, documents: i
                 base.append(math.fsum(b for b, _ in here))
                 score.append(math.fsum(s for _, s in here) + gain)
                 rare.append([w for w, x in zip(words, found, strict=True) if x is None])
-            each = [*{w for words in rare for w in words}]
-            spelled = tree.words([w.decode() for w in each]).tolist()
-            pieces = {w: {"h": signed_hash(w), "s": s} for w, s in zip(each, spelled, strict=True)}
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.float64())]))
+            hashes = {w: signed_hash(w) for words in rare for w in words}
             columns = {
                 "n_tokens": pa.array(n_tokens, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
                 "base": pa.array(base, pa.float64()),
                 "score": pa.array(score, pa.float64()),
-                "rare": pa.array([[*map(pieces.__getitem__, words)] for words in rare], kind),
+                "rare": pa.array([[*map(hashes.__getitem__, words)] for words in rare], pa.list_(pa.int64())),
             }
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *columns.values()], names=["doc_id", "rid", *columns])
 
@@ -483,20 +325,20 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
     over = corpus.tokens + 0.5 * (corpus.distinct + 1)
-    # at most COMMON_WORDS words and the tree, which STATES and WORD_PAIRS bound
-    shared = spark.sparkContext.broadcast((corpus.common, corpus.tree, corpus.states))
+    # at most COMMON_WORDS words and the states, which WORD_PAIRS bounds
+    shared = spark.sparkContext.broadcast((corpus.common, corpus.states))
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<struct<h: long, s: double>>"
+    schema = f"doc_id {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<long>"
     run = _score(uuid.uuid4().hex, shared, over, max(corpus.single, 1), corpus.tokens, corpus.documents)
     found = written(rows.select("doc_id", "rid", "text").mapInArrow(run, schema), "pst-rows")
     shared.destroy()  # or workers would keep it
     counts = corpus.words.select(F.xxhash64("word").alias("h"), "n")
     # rows alike in id and text share their rid and would count twice
-    pieces = found.groupBy("rid").agg(F.first("rare").alias("rare")).select("rid", F.explode("rare").alias("r")).select("rid", "r.*")
+    pieces = found.groupBy("rid").agg(F.first("rare").alias("rare")).select("rid", F.explode("rare").alias("h"))
     looked = pieces.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = looked.groupBy("rid").agg(
         F.sum(corpus.base(F.col("n"))).alias("rare_base"),
-        F.sum(corpus.token(F.col("n"), F.col("s"))).alias("rare_score"),
+        F.sum(corpus.root(F.col("n"))).alias("rare_score"),
         F.sum((F.col("n") > 0).cast("long")).alias("rare_known"),
     )
     end = corpus.documents
@@ -505,8 +347,8 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + int(end > 0)).alias("n_known"),
         F.lit(corpus.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + corpus.base(int(end))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0)) + corpus.token(int(end), corpus.tree.end())).alias("score"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + corpus.base(end)).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0)) + corpus.root(end)).alias("score"),
     )
 
 
