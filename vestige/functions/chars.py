@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .findings import FINDING, code_point, finding, let, none, preview, tally, when
 from .patterns import CONTROLS, EXOTIC, EXOTIC_SPACES, HYPHENS, INVISIBLE_NAMES, OTHER_INVISIBLE, SPACE, carrier
@@ -104,7 +105,7 @@ def lookalike_findings(text: Column) -> Column:
     return let(lookalike_words(text), rows)
 
 
-@F.pandas_udf("struct<decomposed: long, composed: long>")
+@F.pandas_udf(T.StructType([T.StructField("decomposed", T.LongType()), T.StructField("composed", T.LongType())]))
 def _forms(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     import regex
 
@@ -274,7 +275,7 @@ def payloads(found: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _payloads(rows: pd.Series) -> pd.Series:
     return rows.map(lambda x: payloads(x) if x else [])
 
@@ -285,7 +286,7 @@ def decoded(text: Column) -> Column:
     return F.coalesce(_payloads(F.when(text.rlike(carrier()), F.array_join(found, ""))), F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -67,15 +67,22 @@ def tally(chars: Column) -> Column:
 
 def first_each(rows: Column) -> Column:
     """Of findings alike in label and value, the first."""
-    return F.filter(
-        rows,
-        lambda r, i: F.size(F.filter(F.slice(rows, 1, i), lambda o: (o["label"] == r["label"]) & (o["value"] == r["value"]))) == 0,
-    )
+
+    def of(all_: Column) -> Column:
+        return F.filter(
+            all_, lambda r, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda o: (o["label"] == r["label"]) & (o["value"] == r["value"]))
+        )
+
+    return let(rows, of)
 
 
 def by_confidence(rows: Column) -> Column:
     """The findings in a stable order of confidence."""
-    return F.concat(*(F.filter(rows, lambda r: r["confidence"] == c) for c in RANKS))
+
+    def level(all_: Column, name: str) -> Column:
+        return F.filter(all_, lambda r: r["confidence"] == name)
+
+    return let(rows, lambda all_: F.concat(*(level(all_, c) for c in RANKS)))
 
 
 def exploded(df: DataFrame, rows: Column, *keys: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 #: White space as browsers and JavaScript see it.
@@ -336,6 +337,9 @@ def java(pattern: str) -> str:
 
     A boundary at an accented letter takes all letters for word characters, as is meant there.
     """
+    flags = re.match(r"\(\?[a-z]+\)", pattern)
+    if flags:
+        return flags[0] + java(pattern[flags.end() :])
     out, k, in_class = [], 0, False
     while k < len(pattern):
         two = pattern[k : k + 2]
