@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .findings import FINDING, finding, first_each, let, none, trim
+from .findings import FINDING, FINDING_TYPE, finding, first_each, let, none, trim
 from .patterns import (
     API_IDENTIFIERS,
     ASSEMBLED,
@@ -79,57 +81,57 @@ def declares_generative(findings: Column) -> Column:
     return F.exists(findings, lambda f: (f["label"] == SOURCE_TYPE) & F.split(f["value"], " — ")[0].isin(terms))
 
 
-def told(value: Column, pattern: str, template: str) -> Column:
-    """The template with groups of the pattern's first match put in."""
-    out = []
-    for piece in re.split(r"(\{\d\^?\})", template):
-        if m := re.fullmatch(r"\{(\d)(\^?)\}", piece):
-            group = F.regexp_extract(value, java(pattern), int(m[1]))
-            out.append(F.upper(group) if m[2] else group)
-        elif piece:
-            out.append(F.lit(piece))
-    return F.concat(*out)
+def told(template: str, match: re.Match) -> str:
+    """The template with the match's groups put in; {n^} in capitals."""
+    return re.sub(r"\{(\d)(\^?)\}", lambda m: match[int(m[1])].upper() if m[2] else match[int(m[1])], template)
 
 
-def one(value: Column, pattern: str, build) -> Column:
-    """build(first match) as an array of one finding, if the pattern matches."""
-    match = F.regexp_extract(value, java(pattern), 0)
-    return F.when(value.rlike(java(pattern)), F.array(build(match)).cast(FINDING)).otherwise(none())
+def masked(secret: str) -> str:
+    """What mask() gives, for a string."""
+    marked = re.match(r".*[-_]", secret[:8])
+    letters = re.match(r"[A-Za-z]+", secret)
+    prefix = marked[0] if marked else (letters[0] if letters else secret)[:4]
+    return f"{prefix}… ({len(secret)} characters) — rotate this key"
 
 
-def tool_findings(value: Column, location: Column) -> Column:
-    parts = []
-    for pattern, name in METADATA_CREDENTIALS:
-        parts.append(one(value, pattern, lambda m, n=name: finding("identity", "confirmed", location, CREDENTIAL + n, mask(m))))
-    for pattern, name in API_IDENTIFIERS:
-        parts.append(one(value, pattern, lambda m, n=name: finding("environment", "confirmed", location, n, m)))
-    for pattern, vendor in MODELS:
-        parts.append(
-            one(value, pattern, lambda m, v=vendor: finding("provenance", "confirmed", location, "Model identifier", F.concat(m, F.lit(f" ({v})"))))
-        )
-    for label, tools in TOOLS:
-        for pattern, tool in tools:
-            parts.append(one(value, "(?i)" + pattern, lambda m, t=tool, n=label: finding("provenance", "confirmed", location, n, t)))
-    return F.concat(*parts)
-
-
-def trace_findings(value: Column, location: Column) -> Column:
-    parts = []
-    for label, pattern, template in TRACES:
-        row = lambda m, n=label, p=pattern, t=template: finding("environment", "confirmed", location, n, told(value, p, t))
-        parts.append(one(value, pattern, row))
-    return F.concat(*parts)
+@cache
+def banks() -> tuple[list, list]:
+    """Compiled (pattern, kind, label, value of a match): traces of hosts and runs, then tools."""
+
+    def compiled(pattern: str) -> re.Pattern:
+        spaces = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+        return re.compile(re.sub(r"\\s(?=[^\[\]]*\])", lambda _: spaces, pattern).replace(r"\s", f"[{spaces}]"), re.ASCII)
+
+    def fixed(text: str):
+        return lambda _: text
+
+    traces = [(compiled(p), "environment", label, lambda m, t=t: told(t, m)) for label, p, t in TRACES]
+    tools = [(compiled(p), "identity", CREDENTIAL + name, lambda m: masked(m[0])) for p, name in METADATA_CREDENTIALS]
+    tools += [(compiled(p), "environment", name, lambda m: m[0]) for p, name in API_IDENTIFIERS]
+    tools += [(compiled(p), "provenance", "Model identifier", lambda m, v=vendor: f"{m[0]} ({v})") for p, vendor in MODELS]
+    tools += [(compiled("(?i)" + p), "provenance", label, fixed(tool)) for label, group in TOOLS for p, tool in group]
+    return traces, tools
+
 
+def derive(findings) -> list[dict]:
+    """What the values of findings give away about hosts, runs and tools; alike ones once, the first."""
+    traces, tools = banks()
+    out: dict[tuple[str, str], dict] = {}
+    for f in findings:
+        value = f["value"]
+        if value:
+            for pattern, kind, label, build in traces if f["label"] in SUBJECTS else [*traces, *tools]:
+                if m := pattern.search(value):
+                    row = {"kind": kind, "confidence": "confirmed", "location": f"derived from {f['location']}", "label": label, "value": build(m)}
+                    out.setdefault((label, row["value"]), row)
+    return [*out.values()]
 
-def fingerprint(findings: Column) -> Column:
-    """What the values of findings give away about hosts, runs and tools; alike ones once."""
 
-    def derived(f: Column) -> Column:
-        location = F.concat(F.lit("derived from "), f["location"])
-        tools = F.when(f["label"].isin(SUBJECTS), none()).otherwise(tool_findings(f["value"], location))
-        return F.concat(trace_findings(f["value"], location), tools)
+@F.pandas_udf(FINDING_TYPE)
+def fingerprint(findings: pd.Series) -> pd.Series:
+    """derive() of each row's findings: some sixty patterns a finding, which are faster here than as columns."""
+    return findings.map(lambda rows: derive(rows) if rows is not None else [])
 
-    return first_each(F.flatten(F.transform(F.filter(findings, lambda f: f["value"] != ""), derived)))
 
 
 def provenance(findings: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .patterns import SPACE
 
 FINDING = "array<struct<kind: string, confidence: string, location: string, label: string, value: string>>"
+FINDING_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "confidence", "location", "label", "value")]))
 RANKS = {"confirmed": 0, "probable": 1, "informational": 2}
 
 
