@@ -41,8 +41,8 @@ def quoted(text: str) -> str:
     return "(" + " || ".join(parts) + ")" if parts else "''"
 
 
-def inserted(key: str, every: int, before: dict[int, str], after: dict[int, str], text: str = "text") -> tuple[Column, str]:
-    """The text with what its key's remainder puts before and after it, as a column and as SQL."""
+def inserted(key: str, every: int, before: dict[int, str], after: dict[int, str], text: str = "text") -> tuple[Callable[[], Column], str]:
+    """The text with what its key's remainder puts before and after it, as what makes a column and as SQL."""
 
     def column(extra: dict[int, str]) -> Column:
         out = F.lit("")
@@ -53,7 +53,7 @@ def inserted(key: str, every: int, before: dict[int, str], after: dict[int, str]
     def sql(extra: dict[int, str]) -> str:
         return "''" if not extra else f"CASE {key} % {every} " + " ".join(f"WHEN {k} THEN {quoted(v)}" for k, v in extra.items()) + " ELSE '' END"
 
-    return F.concat(column(before), F.col(text), column(after)), f"({sql(before)} || {text} || {sql(after)})"
+    return lambda: F.concat(column(before), F.col(text), column(after)), f"({sql(before)} || {text} || {sql(after)})"
 
 
 SECRET = "sk-" + "A" * 32
@@ -73,7 +73,7 @@ DOCS_SQL = f"(SELECT doc_id, lang, {TEXT_SQL} AS t FROM documents)"
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", TEXT.alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", TEXT().alias("t"))
 
 
 WORD = r"[\p{L}\p{N}'’-]+"
@@ -246,7 +246,7 @@ DECOMPOSED, DECOMPOSED_SQL = inserted("doc_id", 5, {}, {1: " cafe\u0301 e\u0301t
 )
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    rows = table(spark, sf_dir, "documents").select("doc_id", chars.normal_forms(DECOMPOSED).alias("f"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", chars.normal_forms(DECOMPOSED()).alias("f"))
     return rows.select("doc_id", "f.decomposed", "f.composed").where("decomposed > 0")
 
 
@@ -272,7 +272,7 @@ PAYLOAD_SQL = "SELECT doc_id, CASE doc_id % 7 " + " ".join(
 @register("hidden_payloads", PAYLOAD_SQL + " END AS payload FROM documents WHERE doc_id % 7 IN (1, 2, 3)")
 def hidden_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(chars.decoded(HIDDEN)).alias("payload"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(chars.decoded(HIDDEN())).alias("payload"))
 
 
 def content_sql() -> str:
@@ -355,7 +355,7 @@ PAGE, PAGE_SQL = inserted("page_id", 6, {}, HEADS, "html")
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return table(spark, sf_dir, "pages").select("page_id", PAGE.alias("h"))
+    return table(spark, sf_dir, "pages").select("page_id", PAGE().alias("h"))
 
 
 @register(
@@ -401,7 +401,7 @@ NOTE, NOTE_SQL = inserted("doc_id", 4, FRONT, TAIL)
       SELECT doc_id, label, value FROM documents JOIN r ON doc_id % 4 = k""",
 )
 def markdown_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(markup.inspect_markdown(NOTE)).alias("f"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(markup.inspect_markdown(NOTE())).alias("f"))
     return rows.select("doc_id", "f.label", "f.value")
 
 
@@ -411,7 +411,7 @@ def markdown_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE doc_id % 4 WHEN 0 THEN {quoted(TAIL[0])} WHEN 2 THEN {quoted(TAIL[2])} ELSE '' END) AS digest FROM documents""",
 )
 def redact_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(markup.redact_markdown(NOTE), 256).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(markup.redact_markdown(NOTE()), 256).alias("digest"))
 
 
 SVG = {
@@ -423,7 +423,7 @@ DRAWING, DRAWING_SQL = inserted("doc_id", 5, SVG, {})
 
 @register("markup_formats", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'svg' WHEN 1 THEN 'svg' WHEN 2 THEN 'html' WHEN 3 THEN 'markdown' ELSE 'text' END AS format FROM documents")
 def markup_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(markup.detect_format(DRAWING), F.lit("text")).alias("format"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(markup.detect_format(DRAWING()), F.lit("text")).alias("format"))
 
 
 @register(
@@ -434,7 +434,7 @@ def markup_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT doc_id, label, value FROM documents JOIN r ON doc_id % 5 = k""",
 )
 def svg_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("doc_id") % 5 < 2).select("doc_id", F.explode(markup.inspect_svg(DRAWING)).alias("f"))
+    rows = table(spark, sf_dir, "documents").where(F.col("doc_id") % 5 < 2).select("doc_id", F.explode(markup.inspect_svg(DRAWING())).alias("f"))
     return rows.select("doc_id", "f.label", "f.value")
 
 
@@ -452,7 +452,7 @@ def inspect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("inspect_conversations")
 def inspect_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, _ = inserted("conv_id", 5, {}, {1: AFTER[1], 2: AFTER[10], 3: AFTER[12]})
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("t"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text().alias("t"))
     found = textpipe.findings(rows, "conv_id", "turn", "role", text_col="t")
     return found.groupBy("role", "kind", "label").agg(F.count("*").alias("findings"))
 
@@ -468,7 +468,7 @@ def document_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("provenance")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     note, _ = inserted("doc_id", 4, {0: FRONT[0], 1: "---\ngenerator: gpt-4o via LangChain\n---\n"}, {2: AFTER[11]})
-    rows = table(spark, sf_dir, "documents").select("doc_id", note.alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", note().alias("t"))
     return textpipe.summarize(rows, "doc_id", text_col="t")
 
 
