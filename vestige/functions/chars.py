@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -307,6 +308,18 @@ def clean_text(text: Column, normalize_spaces: bool = True, normalize: bool = Tr
     return composed(out) if normalize else out
 
 
+def cleaned(text: str) -> str:
+    """What clean_text() gives without making spaces plain, for a string."""
+    return unicodedata.normalize("NFC", _carriers().sub("", text))
+
+
+@cache
+def _carriers():
+    import regex
+
+    return regex.compile(carrier(), regex.V1)
+
+
 def scan_text(text: Column, forms: Column | None = None) -> Column:
     """All character findings of a text, in the order of a report."""
     return F.concat(

@@ -19,7 +19,9 @@ from ..shipping import ship
 
 PLACE, BODY = "file contents", "document body"
 #: Columns that an inspection makes for itself.
-OWN = ["_text", "_body", "_forms", "_hidden", "_scan", "_found", "_given", "_derived"]
+OWN = ["_text", "_body", "_forms", "_hidden", "_scan", "_found", "_given", "_derived", "_container"]
+#: What a file's reader found: its format, its findings, and the place whose text the row holds.
+CONTAINER = f"struct<format: string, own: {FINDING}, place: string>"
 
 
 def found() -> Column:
@@ -38,7 +40,14 @@ def found() -> Column:
     hidden = F.transform("_hidden", lambda x: finding(KIND, "confirmed", place, label, x)).cast(FINDING)
     types = find_source_types(text, F.when(plain, PLACE).otherwise("metadata"))
     contents = scan_content(text, place)
-    return F.when(plain, F.concat(scanned, contents, hidden, email_headers(text), types)).otherwise(
+    held = F.col("_container")
+    # glyphs are laid out by the producer of a PDF, so what only informs says nothing there
+    said = F.filter("_scan", lambda f: ~f["location"].isin(ARRANGEMENT) & ((held["format"] != "pdf") | (f["confidence"] != "informational")))
+    where = F.transform(said, lambda f: finding(f["kind"], f["confidence"], F.concat(held["place"], F.lit(" ("), f["location"], F.lit(")")), f["label"], f["value"]))
+    payload = F.concat(F.lit("Hidden payload in "), F.when(held["format"] == "pdf", "page text").otherwise("document text"))
+    carried = F.transform("_hidden", lambda x: finding(KIND, "confirmed", held["place"], payload, x)).cast(FINDING)
+    read = F.concat(F.coalesce(held["own"], F.array().cast(FINDING)), where.cast(FINDING), carried)
+    return F.when(held.isNotNull(), read).when(plain, F.concat(scanned, contents, hidden, email_headers(text), types)).otherwise(
         F.concat(own_findings(text, F.col("format")), types, contents, scanned, hidden)
     )
 
@@ -56,21 +65,27 @@ def with_derived(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def inspect_text(df: DataFrame, text_col: str = "text", hint: Column | None = None, out: str = "findings") -> DataFrame:
+def inspect_text(df: DataFrame, text_col: str = "text", hint: Column | None = None, out: str = "findings", container: Column | None = None) -> DataFrame:
     """df with format and findings columns; a null text has a null format and no findings.
 
+    Rows with a container (a column of type CONTAINER) hold a text taken out of a file, or none: their
+    format and first findings are the container's.
+
     The format decides the reading: svg, html, markdown or text. What several steps need is made a
     column once, so the plan grows with the number of patterns only.
     """
     ship(df.sparkSession)
+    held = (F.lit(None) if container is None else container).cast(CONTAINER)
     format_ = F.when(F.col(text_col).isNotNull(), F.coalesce(detect_format(F.col("_text"), hint), F.lit("text")))
-    rows = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("format", format_)
+    format_ = F.coalesce(F.col("_container.format"), format_)
+    rows = df.withColumn("_container", held).withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("format", format_)
     rows = rows.withColumn("_body", F.when(F.col("format").isin("svg", "html"), visible_text(F.col("_text"))).otherwise(F.col("_text")))
     rows = rows.withColumns({"_forms": normal_forms(F.col("_body")), "_hidden": decoded(F.col("_body"))})
     rows = rows.withColumn("_scan", scan_text(F.col("_body"), F.col("_forms"))).withColumn("_found", found())
     place = F.when(F.col("format") == "text", PLACE).otherwise(BODY)
     body = F.array(finding("provenance", "informational", place, BODY_TEXT, F.col("_body"))).cast(FINDING)
-    rows = with_derived(rows.withColumn("_given", F.concat(F.col("_found"), body)))
+    given = F.when(F.col("_container").isNotNull(), F.col("_found")).otherwise(F.concat(F.col("_found"), body))
+    rows = with_derived(rows.withColumn("_given", given))
     whole = by_confidence(F.concat(F.col("_found"), F.col("_derived")))
     return rows.withColumn(out, F.when(F.col("format").isNotNull(), whole).otherwise(F.array().cast(FINDING))).drop(*OWN)
 
