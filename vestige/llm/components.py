@@ -20,6 +20,8 @@ from .common import written
 #: Edges that a task merges at once.
 PIECE = 500_000
 ROUNDS = 40
+#: Parts of a hub's edges, each of which one task may get.
+PARTS = 64
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +67,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_merge, schema)
     now = written(now.distinct(), "components")
     for _ in range(ROUNDS):
-        # large star: every neighbour above a node is linked to the node's least neighbour
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # large star: every neighbour above a node is linked to the node's least neighbour; a hub's edges are
+        # dealt to parts by their other end, and its least neighbour goes to those of its parts that have edges
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+        parts = both.groupBy("a", "part").agg(F.min("b").alias("m"))
+        least = parts.groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"), F.collect_set("part").alias("parts"))
+        least = least.select("a", "m", F.explode("parts").alias("part"))
+        large = both.where(F.col("b") > F.col("a")).join(least, ["a", "part"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its neighbours below it are linked to the least of them
         below = large.where(F.col("a") > F.col("b"))
         low = below.groupBy("a").agg(F.min("b").alias("m"))
