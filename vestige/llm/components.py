@@ -58,6 +58,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the least b of each a.
+
+    A hub's edges are dealt to parts by their other end, and m goes to those of its parts that have edges, so no task
+    gets a hub's edges whole.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts")).select("a", "m", F.explode("parts").alias("part"))
+    return dealt.join(least, ["a", "part"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a long, b long); component is its least node.
 
@@ -67,17 +79,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_merge, schema)
     now = written(now.distinct(), "components")
     for _ in range(ROUNDS):
-        # large star: every neighbour above a node is linked to the node's least neighbour; a hub's edges are
-        # dealt to parts by their other end, and its least neighbour goes to those of its parts that have edges
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
-        parts = both.groupBy("a", "part").agg(F.min("b").alias("m"))
-        least = parts.groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"), F.collect_set("part").alias("parts"))
-        least = least.select("a", "m", F.explode("parts").alias("part"))
-        large = both.where(F.col("b") > F.col("a")).join(least, ["a", "part"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # large star: every neighbour above a node is linked to the node's least neighbour
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = with_least(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         # small star: a node and its neighbours below it are linked to the least of them
-        below = large.where(F.col("a") > F.col("b"))
-        low = below.groupBy("a").agg(F.min("b").alias("m"))
-        small = below.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        below = with_least(large.where(F.col("a") > F.col("b")))
+        small = below.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(below.select("a", F.col("m").alias("b")))
         new = written(small.where(F.col("a") != F.col("b")).mapInArrow(_merge, schema).distinct(), "components")
         if new.count() == now.count() and new.exceptAll(now).isEmpty():
             now = new
