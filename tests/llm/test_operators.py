@@ -228,6 +228,30 @@ def test_suffix_tree_scores(spark, empty):
     assert pst.score(empty, pst.learn(empty)).count() == 0
 
 
+def test_suffix_tree_keeps_every_context_that_passes(spark):
+    """1.5 million pairs of context and symbol: 250,000 words in three orders, four times over."""
+    line = [f"x{k}" for k in range(250_000)]
+    orders = [" ".join(random.Random(k).sample(line, len(line))) for k in range(3)]
+    docs = spark.createDataFrame([(k, orders[k % 3]) for k in range(12)], "doc_id long, text string").repartition(4)
+    corpus = pst.learn(docs)
+    found = pst.score(docs, corpus).collect()
+    # by two words before, the next is 4 of 5; by one word only, 4 of 15
+    assert len(found) == 12 and all(r.score / r.n_tokens > -0.2 for r in found)
+
+
+def test_suffix_tree_scores_do_not_depend_on_parts(spark, monkeypatch):
+    gen = random.Random(3)
+    vocabulary = [f"v{int(gen.paretovariate(0.7))}" for _ in range(9000)]
+    rows = [(k, " ".join(gen.choice(vocabulary) for _ in range(300))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for tokens in (10**9, 40):
+        monkeypatch.setattr(pst, "PART_TOKENS", tokens)
+        monkeypatch.setattr(pst, "LEAST_PARTS", 1)
+        found.append({r.doc_id: r.score for r in pst.score(docs, pst.learn(pst.training_rows(docs))).collect()})
+    assert found[0] == pytest.approx(found[1], rel=1e-9)
+
+
 def test_token_counts_add_up(docs, empty):
     enc = bpe.encoder(BPE, public.PATTERN)
     for rule in tokencount.RULES:

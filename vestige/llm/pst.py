@@ -8,9 +8,9 @@ symbol T / (N + T).
 States of one or two words before a token refine that. A context ends in a word that is not among
 the ``FREQUENT`` most frequent (those hardly tell what follows), is met ``MET`` times at least, and
 stays if its next symbols diverge from the root's: if twice the log-likelihood ratio beats
-``PENALTY`` per kind of next symbol times the log of its count; of those that do, the ones of
-largest gain stay, up to ``WORD_PAIRS`` pairs of context and symbol. Next symbols are here the
-common words, the end, and one symbol for all other words, which the root then tells apart; other
+``PENALTY`` per kind of next symbol times the log of its count. All that do stay, in a written table
+dealt to parts that grow in number with the training tokens; tokens meet them by a join in these
+parts, and no worker holds more of the tree than a part. Next symbols are here the common words, the end, and one symbol for all other words, which the root then tells apart; other
 words serve as contexts by a class of their hash. In a state s a symbol c has (n(s,c) + t(s) p(c |
 suffix)) / (n(s) + t(s)), where t(s) counts the distinct symbols seen and p(. | suffix) is the state
 without the first word, or the root. The longest suffix state of a position scores it.
@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,10 @@ from .toxicity import fold
 PENALTY = 1.0
 #: Words that every worker knows with their counts; the others are looked up by a join.
 COMMON_WORDS = 262_144
-#: Words that are no context's last one, occurrences of a context, and pairs of context and symbol in the tree.
-FREQUENT, MET, WORD_PAIRS = 4_096, 4, 1_000_000
+#: Words that are no context's last one, and occurrences of a context.
+FREQUENT, MET = 4_096, 2
+#: Tokens of a part, parts at least, and codes that a task holds before it hands them on.
+PART_TOKENS, LEAST_PARTS, HELD_CODES = 500_000, 16, 2_000_000
 #: Bits of a word's number in a context, and the numbers that aren't common words.
 WORD_BITS = 21
 OTHER, STOP_TEXT, BEGIN, FIRST_WORD = 0, 1, 2, 3
@@ -95,61 +98,168 @@ def word_codes(texts: list[list[bytes]], numbers: dict[bytes, int]) -> tuple[np.
     return code[use], owner[2:][use], symbol[use]
 
 
+def packed(codes: np.ndarray, *others: np.ndarray) -> bytes:
+    """Ascending codes, and integers or floats that belong to them, in few bytes."""
+    columns = [np.diff(codes, prepend=0), *others]
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    return len(codes).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:8], "little"), 0, []
+    sizes = [np.dtype(k).itemsize for k in (np.int64, *kinds)]
+    raw = np.frombuffer(pa.decompress(data[8:], n * sum(sizes), "zstd", asbytes=True), dtype=np.uint8)
+    for kind, size in zip((np.int64, *kinds), sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).reshape(-1).view(kind))
+        at += n * size
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+
+
+@dataclass
+class Deal:
+    """How contexts go to parts: by their last word, and those of a frequent one in pieces by the word before, too.
+
+    A part gets PART_TOKENS tokens or so; pieces has the number of pieces of each word as a last one.
+    """
+
+    parts: int
+    pieces: np.ndarray
+
+    @classmethod
+    def of(cls, common: pa.Table, documents: int, tokens: int) -> Deal:
+        parts = max(LEAST_PARTS, tokens // PART_TOKENS)
+        n = np.zeros(1 << WORD_BITS)
+        n[FIRST_WORD : FIRST_WORD + common.num_rows] = common.column("n").to_numpy()
+        n[BEGIN] = documents
+        return cls(parts, np.maximum(1, np.ceil(2 * parts * n / max(tokens, 1))).astype(np.uint32))
+
+    def piece(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return (mixed((last.astype(np.uint64) << np.uint64(32)) | piece.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
+
+    def of_codes(self, code: np.ndarray) -> np.ndarray:
+        """The part of codes of two words before a symbol."""
+        last = (code >> WORD_BITS) & ((1 << WORD_BITS) - 1)
+        return self.piece(last, mixed(code >> 2 * WORD_BITS) % self.pieces[last])
+
+    def of_short_codes(self, code: np.ndarray) -> np.ndarray:
+        """The part that counts codes of one word before a symbol: a frequent word's are dealt by themselves."""
+        return np.where(self.split(code), (mixed(code) % np.uint64(self.parts)).astype(np.int64), self.piece(code >> WORD_BITS, np.zeros(len(code))))
+
+    def split(self, code: np.ndarray) -> np.ndarray:
+        """Whether a code's context is one frequent word."""
+        context = code >> WORD_BITS
+        return (context < 1 << WORD_BITS) & (self.pieces[np.minimum(context, len(self.pieces) - 1)] > 1)
+
+
+DEALT = "part long, kind int, batch long, data binary"
+COUNTS, SPLIT, QUESTION, ANSWER, ROWS = range(5)
+
+
+def dealt_rows(part: np.ndarray, kind: int, batch: int, code: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: its codes, which become ascending, and what belongs to them."""
+    order = np.argsort(code, kind="stable")
+    order = order[np.argsort(part[order], kind="stable")]
+    part, code, others = part[order], code[order], [x[order] for x in others]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = [*starts[1:].tolist(), len(part)]
+    data = [packed(code[i:j], *(x[i:j] for x in others)) for i, j in zip(starts.tolist(), ends, strict=True)]
+    n = len(starts)
+    columns = [pa.array(part[starts]), pa.array(np.full(n, kind, dtype=np.int32)), pa.array(np.full(n, batch)), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "batch", "data"])
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "batch", "data")), strict=True)
+
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, where = np.unique(code, return_inverse=True)
+    return code, np.bincount(where, n, minlength=len(code)).astype(np.int64)
+
+
+def numbers_of(common: pa.Table) -> dict[bytes, int]:
+    return {w.encode(): FIRST_WORD + k for k, w in enumerate(common.column("word").to_pylist())}
+
+
 def _count_word_codes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {w.encode(): FIRST_WORD + k for k, w in enumerate(shared.value.column("word").to_pylist())}
-        held, size = [], 0
+        common, deal = shared.value
+        numbers, held, size = numbers_of(common), [], 0
 
-        def rows() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code >> WORD_BITS), pa.array(code), pa.array(n.astype(np.int32))], names=["context", "code", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            whole = np.concatenate(held)
+            for codes, part in ((whole, deal.of_codes), (whole & ((1 << 2 * WORD_BITS) - 1), deal.of_short_codes)):
+                code, n = np.unique(codes, return_counts=True)
+                yield dealt_rows(part(code), COUNTS, 0, code, n.astype(np.int64))
 
         for batch in batches:
-            code, _, _ = word_codes([words_of(t) for t in batch.column("text").to_pylist()], numbers)
-            short = code & ((1 << 2 * WORD_BITS) - 1)
-            held += [code, short]
-            size += 2 * len(code)
-            if size > 4_000_000:
-                yield rows()
+            held.append(word_codes([words_of(t) for t in batch.column("text").to_pylist()], numbers)[0])
+            size += len(held[-1])
+            if size > HELD_CODES:
+                yield from rows()
                 held, size = [], 0
         if held:
-            yield rows()
+            yield from rows()
 
     return run
 
 
-def _test_contexts(shared, documents: int, penalty: float, met: int):
-    """Rows come sorted by code; contexts that pass, with their pairs."""
+def _test_contexts(shared, documents: int, penalty: float, met: int, level: int):
+    """Rows come sorted by part; the counts of contexts that pass, dealt for scoring.
 
-    def tested(code: np.ndarray, n: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
-        code, where = np.unique(code, return_inverse=True)
-        n = np.bincount(where, n, minlength=len(code))
-        _, first, owner, kinds = np.unique(code >> WORD_BITS, return_index=True, return_inverse=True, return_counts=True)
-        total = np.bincount(owner, n)
-        p = share[code & ((1 << WORD_BITS) - 1)]
-        gain = 2 * np.bincount(owner, n * np.log(n / total[owner] / p))
-        keep = ((total >= met) & (gain > penalty * kinds * np.log(total + 1)))[owner]
-        columns = [code[keep], n[keep].astype(np.int64), *(x[owner][keep].astype(np.int64) for x in (total, kinds)), gain[owner][keep]]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["code", "n", "total", "kinds", "gain"])
+    At level 0 the counts after one frequent word are only summed, and dealt by that word for level 1, where the
+    contexts that pass go to each part that has a piece of the word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value.column("n").to_numpy().astype(float)
+        common, deal = shared.value
+        counts = common.column("n").to_numpy().astype(float)
         share = np.full(OTHER_CLASSES, 1.0)
         share[FIRST_WORD : FIRST_WORD + len(counts)] = counts
         share[STOP_TEXT] = documents
         tokens = share[STOP_TEXT] + counts.sum()
         share /= max(tokens, 1.0)
         share[OTHER] = 0.05  # what the other words have together; only the test uses it
-        code, n = np.empty(0, dtype=np.int64), np.empty(0)
-        for batch in batches:
-            code, n = np.concatenate([code, batch.column("code").to_numpy()]), np.concatenate([n, batch.column("n").to_numpy()])
-            contexts = code >> WORD_BITS
-            done = int(np.searchsorted(contexts, contexts[-1])) if len(code) else 0
-            if done:
-                yield tested(code[:done], n[:done], share)
-                code, n = code[done:], n[done:]
-        if len(code):
-            yield tested(code, n, share)
+
+        def passing(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            _, owner, kinds = np.unique(code >> WORD_BITS, return_inverse=True, return_counts=True)
+            total = np.bincount(owner, n)
+            gain = 2 * np.bincount(owner, n * np.log(n / total[owner] / share[code & ((1 << WORD_BITS) - 1)]))
+            keep = ((total >= met) & (gain > penalty * kinds * np.log(total + 1)))[owner]
+            return code[keep], n[keep]
+
+        def done(part: int, held: list) -> Iterator[pa.RecordBatch]:
+            code, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+            if level:
+                code, n = passing(code, n)
+                for word in np.unique(code >> WORD_BITS):
+                    one = slice(*np.searchsorted(code >> WORD_BITS, [word, word + 1]))
+                    pieces = np.arange(int(deal.pieces[word]), dtype=np.uint64)
+                    for at in np.unique(deal.piece(np.full(len(pieces), word), pieces)):
+                        yield dealt_rows(np.full(one.stop - one.start, at), COUNTS, 0, code[one], n[one])
+                return
+            split = deal.split(code)
+            if split.any():
+                yield dealt_rows(deal.piece(code[split] >> WORD_BITS, np.zeros(int(split.sum()))), SPLIT, 0, code[split], n[split])
+            code, n = passing(code[~split], n[~split])
+            if len(code):
+                yield dealt_rows(np.full(len(code), part), COUNTS, 0, code, n)
+
+        now, held = None, []
+        for part, _, _, data in parts_of(batches):
+            if part != now and held:
+                yield from done(now, held)
+                held = []
+            now = part
+            held.append(unpacked(data, np.int64))
+        if held:
+            yield from done(now, held)
 
     return run
 
@@ -164,6 +274,14 @@ class WordStates:
     pairs: np.ndarray
     counts: np.ndarray
 
+    @classmethod
+    def of(cls, pairs: np.ndarray, counts: np.ndarray) -> WordStates:
+        """From the counts of whole contexts."""
+        pairs, first = np.unique(pairs, return_index=True)
+        counts = counts[first].astype(float)
+        contexts, owner, kinds = np.unique(pairs >> WORD_BITS, return_inverse=True, return_counts=True)
+        return cls(contexts, np.bincount(owner, counts, minlength=len(contexts)), kinds.astype(float), pairs, counts)
+
     def gains(self, codes: np.ndarray, root: np.ndarray) -> np.ndarray:
         """log10 of each code's probability over that of its symbol at the root."""
         p = root.copy()
@@ -181,25 +299,17 @@ class WordStates:
         return np.log10(p / root)
 
 
-def word_states(texts: DataFrame, shared, documents: int, pairs: int, penalty: float, met: int) -> WordStates:
-    """The states of texts; shared holds the common words with their counts."""
-    counted = texts.mapInArrow(_count_word_codes(shared), "context long, code long, n int")
-    dealt = counted.repartition("context").select("code", "n").sortWithinPartitions("code")
-    kept = dealt.mapInArrow(_test_contexts(shared, documents, penalty, met), "code long, n long, total long, kinds long, gain double")
-    kept = written(kept, "pst-contexts")
-    # contexts of largest gain, whole ones, as many as have no more than so many pairs
-    sizes = kept.groupBy(F.floor(F.log2("gain") * 16).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
-    least, total = None, 0
-    for r in sizes:
-        if (total := total + r["n"]) > pairs:
-            break
-        least = r["step"]
-    step = F.floor(F.log2("gain") * 16)
-    rows = kept.where(F.lit(False) if least is None else step >= least).orderBy("code").toArrow()
-    code = rows.column("code").to_numpy()
-    contexts, first = np.unique(code >> WORD_BITS, return_index=True)
-    total, kinds, n = (rows.column(c).to_numpy().astype(float) for c in ("total", "kinds", "n"))
-    return WordStates(contexts, total[first], kinds[first], code, n)
+def word_states(texts: DataFrame, shared, documents: int, penalty: float, met: int) -> DataFrame:
+    """The counts of all contexts of texts that pass the test, dealt by Deal; shared holds the common words and it."""
+
+    def by_part(rows: DataFrame) -> DataFrame:
+        return rows.repartition("part").sortWithinPartitions("part")
+
+    counted = by_part(texts.mapInArrow(_count_word_codes(shared), DEALT))
+    first = written(counted.mapInArrow(_test_contexts(shared, documents, penalty, met, 0), DEALT), "pst-contexts")
+    split = by_part(first.where(F.col("kind") == SPLIT))
+    second = written(split.mapInArrow(_test_contexts(shared, documents, penalty, met, 1), DEALT), "pst-contexts")
+    return first.where(F.col("kind") == COUNTS).unionByName(second)
 
 
 @dataclass
@@ -215,7 +325,8 @@ class Corpus:
     distinct: int
     single: int
     common: pa.Table
-    states: WordStates
+    deal: Deal
+    states: DataFrame
 
     def base(self, n):
         """log10 of the smoothed share of a token that occurs n times, as a number or a column."""
@@ -230,9 +341,7 @@ class Corpus:
         return F.log10(F.when(n > 0, n).otherwise(F.lit(unknown)) / F.lit(float(total)))
 
 
-def learn(
-    docs: DataFrame, text_col: str = "text", pairs: int = WORD_PAIRS, penalty: float = PENALTY, met: int = MET
-) -> Corpus:
+def learn(docs: DataFrame, text_col: str = "text", penalty: float = PENALTY, met: int = MET) -> Corpus:
     """Gather words, counts and states from every row of docs."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
@@ -241,10 +350,11 @@ def learn(
     documents = texts.count()
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") == 1).alias("single")).first()
     common = common_words(words)
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
-    before = word_states(texts, shared, documents, pairs, penalty, met)
+    deal = Deal.of(common, documents, sums["n"] + documents)
+    shared = docs.sparkSession.sparkContext.broadcast((common, deal))  # at most COMMON_WORDS words, 2 ** WORD_BITS numbers
+    states = word_states(texts, shared, documents, penalty, met)
     shared.destroy()  # what used it is written
-    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, before)
+    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, deal, states)
 
 
 def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
@@ -259,26 +369,28 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
 
 
 class Known:
-    """For each Python worker: common words with their base and root scores and their numbers, and
-    the root probability of each symbol."""
+    """For each Python worker: common words with their base and root scores."""
 
-    held: tuple = ("", {}, {}, np.zeros(0))
+    held: tuple = ("", {})
 
     @classmethod
-    def of(cls, key: str, names: pa.Table, over: float, single: int, tokens: int, documents: int) -> tuple:
+    def of(cls, key: str, names: pa.Table, over: float, single: int, tokens: int) -> dict:
         if cls.held[0] != key:
-            cls.held = ("", {}, {}, np.zeros(0))  # gone before the next is made
+            cls.held = ("", {})  # gone before the next is made
             words, n = names.column("word").to_pylist(), names.column("n").to_numpy().astype(float)
             base, score = np.log10((n + 0.5) / over), np.log10(n / (tokens + single))
-            raw = [w.encode() for w in words]
-            root = np.full(OTHER_CLASSES, 1e-12)
-            root[FIRST_WORD : FIRST_WORD + len(n)] = 10**score
-            root[STOP_TEXT] = documents / (tokens + single)
-            root[STOP_TEXT] = max(root[STOP_TEXT], 1e-12)
-            root[OTHER] = max(1.0 - root[FIRST_WORD : FIRST_WORD + len(n)].sum() - root[STOP_TEXT], 1e-9)
-            known = {w: (b, s) for w, b, s in zip(raw, base.tolist(), score.tolist(), strict=True)}
-            cls.held = key, known, {w: FIRST_WORD + k for k, w in enumerate(raw)}, root
-        return cls.held[1:]
+            cls.held = key, {w.encode(): (b, s) for w, b, s in zip(words, base.tolist(), score.tolist(), strict=True)}
+        return cls.held[1]
+
+
+def root_shares(common: pa.Table, single: int, tokens: int, documents: int) -> np.ndarray:
+    """The root probability of each symbol."""
+    n = common.column("n").to_numpy().astype(float)
+    root = np.full(OTHER_CLASSES, 1e-12)
+    root[FIRST_WORD : FIRST_WORD + len(n)] = n / (tokens + single)
+    root[STOP_TEXT] = max(documents / (tokens + single), 1e-12)
+    root[OTHER] = max(1.0 - root[FIRST_WORD : FIRST_WORD + len(n)].sum() - root[STOP_TEXT], 1e-9)
+    return root
 
 
 def signed_hash(word: bytes) -> int:
@@ -286,22 +398,19 @@ def signed_hash(word: bytes) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def _score(key: str, shared, over: float, single: int, tokens: int, documents: int):
+def _score(key: str, shared, over: float, single: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, states = shared.value
-        known, numbers, root = Known.of(key, names, over, single, tokens, documents)
+        known = Known.of(key, shared.value[0], over, single, tokens)
         for batch in batches:
             n_tokens, n_known, base, score, rare = [], [], [], [], []
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            codes, owner, symbols = word_codes(texts, numbers)
-            gains = np.bincount(owner, states.gains(codes, root[symbols]), minlength=len(texts))
-            for words, gain in zip(texts, gains.tolist(), strict=True):
+            for words in texts:
                 found = [*map(known.get, words)]
                 here = [x for x in found if x is not None]
                 n_tokens.append(len(words) + 1)
                 n_known.append(len(here))
                 base.append(math.fsum(b for b, _ in here))
-                score.append(math.fsum(s for _, s in here) + gain)
+                score.append(math.fsum(s for _, s in here))
                 rare.append([w for w, x in zip(words, found, strict=True) if x is None])
             hashes = {w: signed_hash(w) for words in rare for w in words}
             columns = {
@@ -316,21 +425,111 @@ def _score(key: str, shared, over: float, single: int, tokens: int, documents: i
     return run
 
 
+def _ask(shared):
+    """Codes of every token, dealt like the states, and for each batch of texts a row of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, deal = shared.value
+        numbers, task = numbers_of(common), TaskContext.get().partitionId() << 32
+        codes, slots, keys, number, size = [], [], [], 0, 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            code, slot, rid = np.concatenate(codes), np.concatenate(slots).astype(np.uint32), np.concatenate(keys)
+            if len(code):
+                yield dealt_rows(deal.of_codes(code), QUESTION, task + number, code, slot)
+            yield dealt_rows(np.full(len(rid), number % deal.parts), ROWS, task + number, np.arange(len(rid)), rid)
+
+        for batch in batches:
+            code, owner, _ = word_codes([words_of(t) for t in batch.column("text").to_pylist()], numbers)
+            codes.append(code)
+            slots.append(owner + sum(map(len, keys)))
+            keys.append(batch.column("rid").to_numpy())
+            size += len(code)
+            if size > HELD_CODES:
+                yield from rows()
+                codes, slots, keys, number, size = [], [], [], number + 1, 0
+        if keys:
+            yield from rows()
+
+    return run
+
+
+def _answer(shared, single: int, tokens: int, documents: int):
+    """Rows come sorted by part, its states before what is asked of them; the gains of each batch's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = root_shares(shared.value[0], single, tokens, documents)
+        now, held, states = None, [], None
+        for part, kind, batch, data in parts_of(batches):
+            if part != now:
+                now, held, states = part, [], None
+            if kind == COUNTS:
+                held.append(unpacked(data, np.int64))
+                continue
+            if kind == ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (kind, pa.int32()), (batch, pa.int64()), (data, pa.binary()))], names=["part", "kind", "batch", "data"])
+                continue
+            if not held:
+                continue  # no context of this part passed, so the root has the last word
+            if states is None:
+                states = WordStates.of(*map(np.concatenate, zip(*held, strict=True)))
+            code, slot = unpacked(data, np.uint32)
+            gain = np.bincount(slot, states.gains(code, root[code & ((1 << WORD_BITS) - 1)]))
+            at = np.flatnonzero(gain)
+            if len(at):
+                yield dealt_rows(np.full(len(at), part), ANSWER, batch, at, gain[at])
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by batch, that of the keys first."""
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(gain)], names=["rid", "gain"])
+
+    now, rid, gain = None, None, None
+    for _, kind, batch, data in parts_of(batches):
+        if batch != now:
+            if now is not None:
+                yield rows()
+            now, (_, rid) = batch, unpacked(data, np.int64)
+            gain = np.zeros(len(rid))
+        if kind == ANSWER:
+            slot, more = unpacked(data, np.float64)
+            gain[slot] += more
+    if now is not None:
+        yield rows()
+
+
+def text_gains(rows: DataFrame, corpus: Corpus, shared) -> DataFrame:
+    """(rid, gain) of every row (rid, text): what the states add to its score at the root.
+
+    The codes of all tokens meet the states by a join in their parts.
+    """
+    asked = rows.select("rid", "text").mapInArrow(_ask(shared), DEALT)
+    met = corpus.states.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+    run = _answer(shared, max(corpus.single, 1), corpus.tokens, corpus.documents)
+    dealt = met.mapInArrow(run, DEALT).repartition("batch").sortWithinPartitions("batch", F.desc("kind"))
+    # rows alike in id and text share their rid
+    return written(dealt.mapInArrow(_add, "rid long, gain double").groupBy("rid").agg(F.max("gain").alias("gain")), "pst-gains")
+
+
 def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Counts of words beyond the common ones come by a join on 64 bits of the word's hash.
+    Counts of words beyond the common ones come by a join on 64 bits of the word's hash, the states by one in parts.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
     over = corpus.tokens + 0.5 * (corpus.distinct + 1)
-    # at most COMMON_WORDS words and the states, which WORD_PAIRS bounds
-    shared = spark.sparkContext.broadcast((corpus.common, corpus.states))
+    shared = spark.sparkContext.broadcast((corpus.common, corpus.deal))  # at most COMMON_WORDS words, 2 ** WORD_BITS numbers
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<long>"
-    run = _score(uuid.uuid4().hex, shared, over, max(corpus.single, 1), corpus.tokens, corpus.documents)
+    run = _score(uuid.uuid4().hex, shared, over, max(corpus.single, 1), corpus.tokens)
     found = written(rows.select("doc_id", "rid", "text").mapInArrow(run, schema), "pst-rows")
+    gains = text_gains(rows, corpus, shared)
     shared.destroy()  # or workers would keep it
     counts = corpus.words.select(F.xxhash64("word").alias("h"), "n")
     # rows alike in id and text share their rid and would count twice
@@ -342,13 +541,13 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
         F.sum((F.col("n") > 0).cast("long")).alias("rare_known"),
     )
     end = corpus.documents
-    return found.join(sums, "rid", "left").select(
+    return found.join(sums, "rid", "left").join(gains, "rid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + int(end > 0)).alias("n_known"),
         F.lit(corpus.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + corpus.base(end)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0)) + corpus.root(end)).alias("score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)) + corpus.root(end)).alias("score"),
     )
 
 
