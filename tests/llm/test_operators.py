@@ -252,6 +252,57 @@ def test_suffix_tree_scores_do_not_depend_on_parts(spark, monkeypatch):
     assert found[0] == pytest.approx(found[1], rel=1e-9)
 
 
+def plain_scores(train, texts, penalty=pst.PENALTY, met=pst.MET):
+    """Scores of texts of known words by the tree's definition."""
+    import math
+
+    lines = [[None, None, *t.split(), "\n"] for t in train]
+    counts = Counter(w for line in lines for w in line[2:])
+    tokens, single = sum(counts.values()), max(sum(n == 1 for w, n in counts.items() if w != "\n"), 1)
+    tree = {}
+    for line in lines:
+        for k in range(2, len(line)):
+            for context in ((line[k - 1],), (line[k - 2], line[k - 1])):
+                tree.setdefault(context, Counter())[line[k]] += 1
+
+    def passes(found):
+        total = sum(found.values())
+        gain = 2 * sum(n * math.log(n / total / (counts[c] / tokens)) for c, n in found.items())
+        return total >= met and gain > penalty * len(found) * math.log(total + 1)
+
+    tree = {context: found for context, found in tree.items() if passes(found)}
+    out = []
+    for t in texts:
+        line, score = [None, None, *t.split(), "\n"], 0.0
+        for k in range(2, len(line)):
+            p = counts[line[k]] / (tokens + single)
+            for context in ((line[k - 1],), (line[k - 2], line[k - 1])):
+                if context not in tree:
+                    break
+                found = tree[context]
+                p = (found[line[k]] + len(found) * p) / (sum(found.values()) + len(found))
+            score += math.log10(p)
+        out.append(score)
+    return out
+
+
+def test_suffix_tree_has_contexts_of_frequent_words(spark):
+    gen = random.Random(4)
+    follow = {f"f{k}": [f"f{gen.randrange(80)}" for _ in range(3)] for k in range(80)}
+
+    def text():
+        out = [f"f{gen.randrange(80)}"]
+        while len(out) < 60:
+            out.append(gen.choice(follow[out[-1]] if gen.random() < 0.8 else [*follow]))
+        return " ".join(out)
+
+    rows = [(k, text()) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    found = {r.doc_id: r.score for r in pst.score(docs, pst.learn(pst.training_rows(docs))).collect()}
+    assert found == pytest.approx(dict(enumerate(plain_scores(train, [t for _, t in rows]))), rel=1e-9)
+
+
 def test_token_counts_add_up(docs, empty):
     enc = bpe.encoder(BPE, public.PATTERN)
     for rule in tokencount.RULES:

@@ -5,9 +5,8 @@ symbol that all words unknown to training share, as in the base score. With N tr
 of them met once, the root gives a known token w the probability n(w) / (N + T) and the unknown
 symbol T / (N + T).
 
-States of one or two words before a token refine that. A context ends in a word that is not among
-the ``FREQUENT`` most frequent (those hardly tell what follows), is met ``MET`` times at least, and
-stays if its next symbols diverge from the root's: if twice the log-likelihood ratio beats
+States of one or two words before a token refine that. A context that is met ``MET`` times at
+least stays if its next symbols diverge from the root's: if twice the log-likelihood ratio beats
 ``PENALTY`` per kind of next symbol times the log of its count. All that do stay, in a written table
 dealt to parts that grow in number with the training tokens; tokens meet them by a join in these
 parts, and no worker holds more of the tree than a part. Next symbols are here the common words, the end, and one symbol for all other words, which the root then tells apart; other
@@ -41,8 +40,8 @@ from .toxicity import fold
 PENALTY = 1.0
 #: Words that every worker knows with their counts; the others are looked up by a join.
 COMMON_WORDS = 262_144
-#: Words that are no context's last one, and occurrences of a context.
-FREQUENT, MET = 4_096, 2
+#: Occurrences of a context.
+MET = 2
 #: Tokens of a part, parts at least, and codes that a task holds before it hands them on.
 PART_TOKENS, LEAST_PARTS, HELD_CODES = 500_000, 16, 2_000_000
 #: Bits of a word's number in a context, and the numbers that aren't common words.
@@ -77,8 +76,8 @@ OTHER_CLASSES = FIRST_WORD + COMMON_WORDS
 
 
 def word_codes(texts: list[list[bytes]], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token after a word that isn't frequent: its two words before and its symbol as one
-    code, the number of its text, and its symbol. The first token comes after two begin marks."""
+    """Of each token: its two words before and its symbol as one code, the number of its text, and
+    its symbol. The first token comes after two begin marks."""
     get, hashed = numbers.get, xxhash.xxh3_64_intdigest
     width = (1 << WORD_BITS) - OTHER_CLASSES
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 3
@@ -93,7 +92,7 @@ def word_codes(texts: list[list[bytes]], numbers: dict[bytes, int]) -> tuple[np.
     owner = np.repeat(np.arange(len(texts)), lengths)
     last, before = line[1:-1], line[:-2]
     symbol = np.where(line[2:] >= OTHER_CLASSES, OTHER, line[2:])
-    use = ((last >= FIRST_WORD + FREQUENT) | (last == BEGIN)) & (line[2:] != BEGIN)
+    use = line[2:] != BEGIN
     code = (before << 2 * WORD_BITS) | (last << WORD_BITS) | symbol
     return code[use], owner[2:][use], symbol[use]
 
