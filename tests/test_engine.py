@@ -83,3 +83,12 @@ def test_front_matter_and_formats(spark):
     assert one(spark, note, markup.redact_markdown(F.col("t"))) == "---\nother: y\n---\nbody"
     assert one(spark, note, markup.detect_format(F.col("t"))) == "markdown"
     assert one(spark, "plain", markup.detect_format(F.col("t"))) is None
+
+
+def test_svg_findings_reads_every_row(spark, tmp_path):
+    from vestige.plans.queries import QUERIES
+
+    own = "<svg><desc>own</desc></svg>"
+    spark.createDataFrame([(k, own if k in (4, 9) else "plain") for k in range(10)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.doc_id, r.value) for r in QUERIES["svg_findings"](spark, str(tmp_path)).collect()]
+    assert {(4, "own"), (9, "own")} <= set(found) and not {2, 3, 7, 8} & {i for i, _ in found}

@@ -434,7 +434,7 @@ def markup_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT doc_id, label, value FROM documents JOIN r ON doc_id % 5 = k""",
 )
 def svg_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("doc_id") % 5 < 2).select("doc_id", F.explode(markup.inspect_svg(DRAWING())).alias("f"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(markup.inspect_svg(DRAWING())).alias("f"))
     return rows.select("doc_id", "f.label", "f.value")
 
 
