@@ -209,6 +209,14 @@ def test_html_text(spark):
     assert "own2 own2" in found[2] and "Welcome" not in found[2] and "rights" not in found[2]
 
 
+def test_html_keeps_short_unique_runs(spark):
+    site = "<body><div>Welcome to our site home about contact us today {} reader</div><div>{}</div></body>"
+    rows = [(k, f"http://a.x/{k}", site.format(f"price{k}", f"own{k} " * 9)) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all(found[k].startswith(f"price{k} reader") and "Welcome" not in found[k] for k in range(4))
+
+
 def test_suffix_tree_scores(spark, empty):
     import math
 
