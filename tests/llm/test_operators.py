@@ -47,6 +47,19 @@ def test_bpe_equals_the_library_in_one_piece_and_in_chunks(docs, empty):
     assert bpe.encode(empty, BPE, public.PATTERN).count() == 0
 
 
+def test_bpe_stitches_at_no_place_that_looks_ahead(spark):
+    enc, gen = bpe.encoder(BPE, public.PATTERN), random.Random(8)
+    units = ["\n", "\n\n", " ", "  ", "\t", "ab", "I'll", "'", "don't", "12", "é", "你好", "…", ".", "\u00a0"]
+    texts = [" ".join(["word"] * 13_106) + "word\n\n" + "tail " * 1000, "x" * 65_535 + "\n\n" + "next " * 1000]
+    texts += ["".join(gen.choice(units) for _ in range(gen.randrange(60, 500))) for _ in range(1500)]
+    rows = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id int, text string").repartition(3)
+    expected = Counter((k, tuple(enc.encode_ordinary(texts[k]))) for k in [*range(len(texts)), 1])
+    for size, overlap in ((65_536, 1_024), (60, 40)):
+        found = bpe.encode(rows, BPE, public.PATTERN, chunk_chars=size, overlap=overlap).collect()
+        assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, dtype="<u4").tolist())) for r in found) == expected
+        assert all(bytes(r.decoded).decode() == texts[r.doc_id] for r in found)
+
+
 def words(text):
     return (text or "").encode().split()
 
