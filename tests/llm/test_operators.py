@@ -196,20 +196,61 @@ def test_nearest_matches_brute_force(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def paragraph_set(text):
+    import regex
+
+    found = Counter(regex.findall(iblt.PARAGRAPH % iblt.WORDS, text))
+    return {(p, n) for p, n in found.items()}
+
+
+def alike(a, b):
+    x, y = paragraph_set(a), paragraph_set(b)
+    return 1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1.0
+
+
 def test_fingerprints_compare_versions(docs, empty):
     found = iblt.compare_edits(docs).collect()
-    ordered = sorted(((i if i is not None else -(1 << 63), t or "") for i, t in TEXTS), key=lambda x: (-x[0], x[1]))
+    ordered = sorted(((i if i is not None else -(1 << 63), t or "") for i, t in TEXTS), key=lambda x: -x[0])
     expected = Counter()
-    for k, (_, t) in enumerate(ordered):
+    for k, (i, t) in enumerate(ordered):
         other, cut = ordered[(k + 1) % len(ordered)][1], len(t) // 3
-        expected[(len(t), hashlib.sha256((t[: len(t) - cut] + other[:cut]).encode()).hexdigest())] += 1
-    assert Counter((r.n_chars, r.edited_sha256) for r in found) == expected
+        edited = t[: len(t) - cut] + other[:cut]
+        expected[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(alike(t, edited), 9), round(alike(t, other), 9))] += 1
+    assert Counter((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == expected
     by_id = {r.doc_id: r for r in found}
     assert by_id[3].fingerprint == by_id[4].fingerprint and by_id[4].near_next == 1.0
-    assert 0.3 < by_id[3].near_edited < 0.9 and all(0 <= r.near_next <= 1 for r in found)
     assert iblt.compare_edits(empty).count() == 0
 
 
+def test_fingerprints_of_long_texts_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "NEIGHBOURS", 40)
+    lines = [f"{k} {k * 7 % 1000} {k % 3}" for k in range(6000)]
+    texts = ["\n".join(lines), "\n".join([*lines[:2000], *lines[3500:], *lines[:50]]), "\n".join(["same line"] * 9000)]
+    rows = [(None, f"hot {k}") for k in range(150)] + [(10**15, "far away"), *((k, f"one {k}") for k in range(100, 250)), *enumerate(texts)]
+    found = iblt.compare_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(found) == len(rows)
+    by_id = {r.doc_id: r for r in found}
+    after = lambda i: dict(rows)[i]
+    for i, j in ((10**15, 249), (200, 199), (100, 2), (2, 1), (1, 0)):
+        edited = after(i)[: len(after(i)) - len(after(i)) // 3] + after(j)[: len(after(i)) // 3]
+        assert by_id[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert by_id[i].near_next == pytest.approx(alike(after(i), after(j))) and by_id[i].near_edited == pytest.approx(alike(after(i), edited))
+
+
+def test_fingerprints_recover_digests_by_larger_tables_too(spark):
+    sets = [([1, 2, 3], [3, 4]), ([], []), (list(range(500)), list(range(250, 700))), (list(range(80)), [])]
+    df = spark.createDataFrame(sets, "a array<long>, b array<long>")
+    expected = [sorted([(1, k) for k in set(a) - set(b)] + [(-1, k) for k in set(b) - set(a)]) for a, b in sets]
+    for first in (2, 1_000):  # the second makes tables of four cells a part, so that the next ways have their turn
+        rows = df.select(iblt.retried(F.col("a"), F.col("b"), first).alias("f")).collect()
+        assert [sorted((e.n, e.k) for e in r.f) for r in rows] == expected
+    items = F.transform("a", lambda k: F.struct(F.lit(1).cast("long").alias("n"), k.alias("k")))
+    assert df.where("size(a) = 500").select(iblt.differing(items, F.lit(4).cast("long")).alias("f")).first().f is None
+    out = spark.createDataFrame([("x\ny\nz\n", "x\nz\nq\n")], "a string, b string").select(iblt.changes(F.col("a"), F.col("b")).alias("c")).first().c
+    digest = lambda p: spark.range(1).select(F.xxhash64(F.xxhash64(F.lit(p)), F.lit(1))).first()[0]
+    assert out.removed == [digest("y\n")] and out.added == [digest("q\n")]
+
+
 def test_html_text(spark):
     site = "<body><div>Welcome to our site home about contact us today</div><div>{}</div><div>All rights reserved by the company since its founding</div></body>"
     article = "<nav><a>Menu</a></nav><article><h1>T</h1><p>One &amp; <b>t</b>wo<p>Three<br>four<aside>x</aside></article><footer>f</footer>"
