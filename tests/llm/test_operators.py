@@ -175,27 +175,56 @@ def test_toxicity_learns_and_locates(spark, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
 
 
+def brute_nearest(rows, k=20):
+    """Ranks of the rows of a table, by its definition; a query is a row whose id is divisible by 20."""
+    usable = [(i, np.asarray(v, dtype=np.float32).astype(float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = Counter()
+    for n, (q, v) in enumerate(usable):
+        if q is not None and q % 20 == 0:
+            scores = [(-float((w * v).sum()), i is None, i or 0) for m, (i, w) in enumerate(usable) if m != n and len(w) == len(v)]
+            out.update((q, rank, None if no else i, round(-s, 9)) for rank, (s, no, i) in enumerate(sorted(scores)[:k], 1))
+    return out
+
+
 def test_nearest_matches_brute_force(spark):
     gen = np.random.default_rng(1)
     vectors = gen.normal(size=(600, 8)).astype(np.float32)
-    vectors[5] = vectors[6]
+    vectors[5] = vectors[6] = vectors[7]  # ties
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
-    odd = [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] * 8), (904, [1.0, 2.0])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    found = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
-    wide = vectors.astype(float)
-    hits = 0
-    for q in range(0, 600, 20):
-        scores = (wide * wide[q]).sum(axis=1)
-        scores[q] = -np.inf
-        best = np.lexsort((np.arange(600), -scores))[:20]
-        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
-        assert [r.rank for r in mine] == list(range(1, 21))
-        hits += len({r.vec_id for r in mine} & set(best.tolist()))
-    assert hits / 600 >= 0.9
+    rows += [rows[20], rows[20], (40, rows[41][1]), (None, rows[50][1]), (None, rows[50][1])]  # repeated rows and ids, null ids
+    rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] * 8), (904, [1.0, 2.0]), (905, [0.5, 0.5]), (920, [1.0, 1.0]), (940, [])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, leaf int, key string").repartition(3)
+    found = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    expected = brute_nearest(rows)
+    assert sum(found.values()) == sum(expected.values())
+    assert sum((found & expected).values()) >= 0.99 * sum(expected.values())  # one leaf: only the chi-square test may miss rows
+    assert {x for x in found if x[0] == 920} == {(920, 1, 904, 3.0), (920, 2, 905, 1.0)}
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "gaussian"])
+def test_nearest_recall_on_a_tree(spark, kind):
+    gen = np.random.default_rng(2)
+    vectors = gen.normal(size=(24_000, 32))
+    if kind == "clusters":
+        vectors = vectors * 0.15 + gen.normal(size=(60, 32))[gen.integers(0, 60, 24_000)]
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors = vectors.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(8)
+    report = {}
+    found = ann.nearest(df, F.col("vec_id") % 400 == 0, leaf=512, report=report).collect()
+    wide, hits = vectors.astype(float), 0
+    for q in range(0, 24_000, 400):
+        scores = wide @ wide[q]
+        scores[q] = -np.inf
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-scores)[:20].tolist()))
+    done = report[32]
+    print(kind, "recall", hits / 1200, done)
+    assert len(found) == 1200 and hits / 1200 >= 0.9 and done["leaves"] > 32
+    if kind == "clusters":  # the test ends searches early: few leaves are visited and few rows scored
+        assert done["visits"] < 0.5 * done["leaves"] * 60 and done["scored"] < 0.3 * 24_000 * 60
+
+
 def paragraph_set(text):
     import regex
 

@@ -5,18 +5,22 @@ being the largest norm, a query gets 0; then |q' - v'|^2 = |q|^2 + M^2 - 2 <q, v
 2-stable, projections of these to ``DIMENSIONS`` dimensions have squared distances that are true
 ones times a chi-square variable. A kd-tree over a bounded sample (``SAMPLE`` rows) cuts the
 projected space into leaves, every row goes to its leaf, and each leaf's box is that of all its
-rows. A query first verifies the leaf nearest to it in projection, which gives the distance d of its
-20th neighbour. It then takes leaf after leaf, and row after row in them, while the projected
-distance p passes the test chi2(p^2 / d^2) < ``SURE``; beyond, a nearer row is as unlikely. Rows are
-verified by inner products of the original vectors in double precision.
+rows. The search is incremental: queries visit leaves in the order of their boxes' projected
+distance, ``STEP`` times as many in each round as before, and within a block rows in the order of
+their own projected distance, some at a time. Rows are verified by inner products of the original
+vectors in double precision, and the distance d of the 20th best so far shrinks. A query's search
+ends where the next projected distance p fails the test chi2(p^2 / d^2) < ``SURE``: beyond, a nearer
+row is as unlikely. Rows that fail it in a visited block aren't scored.
 
 Leaves are stored in blocks of bounded size, so a vector that many rows share fills blocks, not one
 task. The queries are a stated set and meet blocks of rows: that isn't a join of all pairs.
 
-Defined results: vectors null, zero, or holding null or non-finite components take no part, nor do
-those of another length than most have; ids that are null neither; repeated ids are rows of their
-own, and a query's own id is no candidate of it; ties go to the smaller id; an empty table or no
-query gives no rows; other columns of the input are ignored.
+Defined results: vectors null, zero, or holding null or non-finite components take no part. Vectors
+of different lengths have no inner product: each length is searched by itself. A candidate's id may
+be null and then comes after all others in ties, which go to the smaller id. Rows of one id are rows
+of their own: a query row has all other rows for candidates, those alike included, and repeated query
+rows each get their ranks from 1. An empty table or no query gives no rows; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import prepare, written
 
-DIMENSIONS = 8
+DIMENSIONS = 12
 SAMPLE = 20_000
 #: Rows of a leaf aimed at, leaves at most (their boxes are broadcast), rows and queries of a block.
 LEAF, LEAVES, BLOCK, QUERIES = 2_048, 4_096, 2_048, 512
 SURE = 0.99
+#: How many times as many leaves a query may visit in a round as before it, and rows that are verified at once.
+STEP, VERIFIED = 4, 256
 SEED = 20_240
 SLACK = 1e-9
 
@@ -110,47 +116,80 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def verify(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, gap: np.ndarray, reach0: np.ndarray, bounds: np.ndarray, limit: float, k: int):
+    """Of each query the places of its k best rows and their scores, and how many rows were scored.
+
+    gap holds projected squared distances; own the row that is the query itself, or -1; reach0 + limit * -2 * bound is
+    how far the test lets a query look. Rows come in the order of their gap, VERIFIED at a time.
+    """
+    scored = 0
+    for q in range(len(queries)):
+        order = np.argsort(gap[q], kind="stable")
+        near, best, score, bound, at = gap[q][order], np.empty(0, dtype=np.int64), np.empty(0), bounds[q], 0
+        while at < len(order):
+            stop = at + VERIFIED
+            if not math.isnan(bound):
+                stop = min(stop, int(np.searchsorted(near, limit * max(reach0[q] - 2 * bound, 0.0) + SLACK)))
+            part = order[at:stop]
+            if not len(part):
+                break
+            at += len(part)
+            part = part[part != own[q]]
+            # summed alike wherever a vector stands, so that equal vectors tie
+            best, score = np.concatenate([best, part]), np.concatenate([score, (vectors[part] * queries[q]).sum(axis=1)])
+            scored += len(part)
+            top = np.lexsort((ids[best], -score))[:k]
+            best, score = best[top], score[top]
+            if len(score) == k:
+                bound = score[-1] if math.isnan(bound) else max(bound, score[-1])
+        keep = score >= (bounds[q] - SLACK if not math.isnan(bounds[q]) else -math.inf)
+        yield best[keep], score[keep], scored
+        scored = 0
+
+
 def _search(k: int, projector: Projector, limit: float):
-    """Each row is a block of candidates and a block of queries; gives each query's nearest there."""
+    """Each row is a block of candidates and a block of queries; gives each query's nearest there.
+
+    A row of rank 0 for each query has the number of rows scored, negative, for a score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[], [], []]
+            found = [[], [], [], []]
             for row in range(batch.num_rows):
                 rows, asked = batch.column("rows")[row].values, batch.column("queries")[row].values
-                ids, qids = rows.field("vec_id").to_numpy(), asked.field("query_id").to_numpy()
-                order = np.argsort(ids, kind="stable")
-                ids, vectors = ids[order], matrix(rows.field("vector"))[order]
+                ids, vectors = rows.field("vec_id").to_numpy(), matrix(rows.field("vector"))
                 points, queries = projector.candidates(vectors), matrix(asked.field("vector"))
                 bounds, asked_points = asked.field("bound").to_numpy(), projector.queries(queries)
-                norms = np.einsum("ij,ij->i", queries, queries)
-                scores = queries @ vectors.T
-                # p^2 < limit * d^2 of the k-th neighbour so far; nan: none known yet
+                qids, keys = asked.field("query_id").to_numpy(), asked.field("key").to_numpy()
+                mine = np.full(len(qids), -1)  # one row alike in id and vector is the query itself
+                for q in range(len(qids)):
+                    same = np.flatnonzero(ids == qids[q])
+                    same = same[(vectors[same] == queries[q]).all(axis=1)]
+                    mine[q] = same[0] if len(same) else -1
                 gap = np.einsum("ij,ij->i", points, points)[None, :] - 2 * asked_points @ points.T
                 gap += np.einsum("ij,ij->i", asked_points, asked_points)[:, None]
-                reach = limit * np.maximum(norms + projector.largest2 - 2 * bounds, 0)
-                for q in range(len(qids)):
-                    open_ = ids != qids[q]
-                    if not math.isnan(bounds[q]):
-                        open_ &= (gap[q] < reach[q] + SLACK) & (scores[q] >= bounds[q] - SLACK)
-                    at = np.flatnonzero(open_)
-                    if len(at) > k:
-                        at = at[scores[q, at] >= np.partition(scores[q, at], -k)[-k] - SLACK]
-                    # summed alike wherever a vector stands, so that equal vectors tie
-                    exact = (vectors[at] * queries[q]).sum(axis=1)
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    found[0].append(np.full(len(best), qids[q]))
-                    found[1].append(ids[at][best])
-                    found[2].append(exact[best])
+                reach0 = np.einsum("ij,ij->i", queries, queries) + projector.largest2
+                for q, (best, score, n) in enumerate(verify(queries, vectors, ids, mine, gap, reach0, bounds, limit, k)):
+                    found[0].append(np.full(len(best) + 1, keys[q]))
+                    found[1].append(np.full(len(best) + 1, qids[q]))
+                    found[2].append(np.append(ids[best], -1))
+                    found[3].append(np.append(score, -float(n)))
             columns = [np.concatenate(x) if x else np.zeros(0) for x in found]
+            kinds = (np.int64, np.int64, np.int64, np.float64)
+            counts = np.concatenate([np.append(np.zeros(len(x) - 1, dtype=bool), True) for x in found[0]]) if found[0] else np.zeros(0, dtype=bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.float64))],
-                names=["query_id", "vec_id", "score"],
+                [*(pa.array(c.astype(t)) for c, t in zip(columns, kinds, strict=True)), pa.array(counts)],
+                names=["key", "query_id", "vec_id", "score", "is_count"],
             )
 
     return run
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+NO_ID = (1 << 63) - 1
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -158,22 +197,38 @@ def nearest(
     vector_col: str = "embedding",
     k: int = 20,
     sure: float = SURE,
+    leaf: int = LEAF,
+    report: dict | None = None,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for every row that is_query holds for, its k nearest rows."""
+    """(query_id, rank, vec_id, score): for every row that is_query holds for, its k nearest rows.
+
+    report, if given, gets the numbers of queries, leaves, visits of a leaf, and rows scored, for each length.
+    """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
-    rows = rows.where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    sizes = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sizes is None:
-        return empty
-    width, n = sizes["width"], sizes["count"]
-    rows = rows.where(F.size("vector") == width)
+    none = F.col(id_col).isNull()
+    rows = vectors.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), none.alias("none"), F.col(vector_col).cast("array<double>").alias("vector"),
+        F.coalesce(is_query & ~none, F.lit(False)).alias("asks"),
+    )
+    rows = rows.where(valid(F.col("vector")))
+    out = spark.createDataFrame([], RESULT)
+    # a row for each length there is; a table of embeddings has one, or few
+    for width, n, asked in sorted(tuple(r) for r in rows.groupBy(F.size("vector").alias("w")).agg(F.count("*"), F.count_if("asks")).collect()):
+        if asked:
+            found: dict = {}
+            out = out.unionByName(_nearest(rows.where(F.size("vector") == width), width, n, k, sure, leaf, found))
+            if report is not None:
+                report[width] = found
+    return out
+
+
+def _nearest(rows: DataFrame, width: int, n: int, k: int, sure: float, leaf_rows: int, report: dict) -> DataFrame:
+    spark = rows.sparkSession
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     largest = rows.agg(F.max(norm)).first()[0]
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks())
-    depth = min(int(math.log2(LEAVES)), max(0, math.ceil(math.log2(max(1, n / LEAF)))))
+    sample = matrix(rows.orderBy(F.xxhash64("vec_id", "vector")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks())
+    depth = min(int(math.log2(LEAVES)), max(0, math.ceil(math.log2(max(1, n / leaf_rows)))))
     projector, limit = Projector(width, largest, depth, sample), chi2_limit(sure, DIMENSIONS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,41 +237,42 @@ def nearest(
             leaf = pa.array(projector.leaf(points).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, leaf, pa.array([*points], pa.list_(pa.float64()))], names=[*batch.schema.names, "leaf", "point"])
 
-    placed = written(rows.mapInArrow(place, "vec_id long, vector array<double>, asks boolean, leaf int, point array<double>"), "ann")
+    placed = written(rows.mapInArrow(place, "vec_id long, none boolean, vector array<double>, asks boolean, leaf int, point array<double>"), "ann")
     point = [F.col("point")[j] for j in range(DIMENSIONS)]
     boxes = placed.groupBy("leaf").agg(
         F.count("*").alias("n"), *(F.min(p).alias(f"low{j}") for j, p in enumerate(point)), *(F.max(p).alias(f"high{j}") for j, p in enumerate(point))
     )
     boxes = boxes.orderBy("leaf").toArrow()  # at most LEAVES rows
     low, high = (np.stack([boxes.column(f"{x}{j}").to_numpy() for j in range(DIMENSIONS)], axis=1) for x in ("low", "high"))
-    numbers = boxes.column("leaf").to_numpy()
-    counts = boxes.column("n").to_numpy()
+    numbers, counts = boxes.column("leaf").to_numpy(), boxes.column("n").to_numpy()
     blocks = np.maximum(1, -(-counts // BLOCK))
-    per_leaf = F.create_map(*(F.lit(int(x)) for pair in zip(numbers, blocks, strict=True) for x in pair)) if len(numbers) <= 256 else None
     leaf_blocks = spark.createDataFrame([*zip(numbers.tolist(), blocks.tolist(), strict=True)], "leaf int, blocks long")
-    sized = placed.withColumn("blocks", per_leaf[F.col("leaf")]) if per_leaf is not None else placed.join(F.broadcast(leaf_blocks), "leaf")
+    # the rows of leaf_blocks are those of boxes; blocks are dealt with the id, so a vector of many ids fills blocks evenly
+    sized = placed.join(F.broadcast(leaf_blocks), "leaf")
     index = sized.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int"))
     index = index.groupBy("leaf", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows"))
     index = written(index, "ann-index")
-    queries = placed.where("asks").select(F.col("vec_id").alias("query_id"), "vector")
-    groups = max(1, -(-queries.count() // QUERIES))
+    # query rows alike in id and vector are searched once
+    queries = placed.where("asks").groupBy(F.col("vec_id").alias("query_id"), "vector").agg(F.count("*").alias("times"))
+    queries = written(queries.withColumn("key", F.xxhash64("query_id", "vector")), "ann-queries")
+    asking = queries.count()
+    groups = max(1, -(-asking // QUERIES))
+
+    def route(first: int, last: int):
+        """Sends a query to the leaves numbered from first to last in the order of their distance, as far as the test goes."""
 
-    def route(first_only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 asked = matrix(batch.column("vector"))
                 for part in range(0, len(asked), 256):
                     q = asked[part : part + 256]
                     near = box_distances(projector.queries(q), low, high)
-                    home = near.argmin(axis=1)
-                    if first_only:
-                        row, leaf = np.arange(len(q)), home
-                    else:
-                        bounds = batch.column("bound").to_numpy(zero_copy_only=False)[part : part + 256].astype(float)
-                        reach = limit * np.maximum(np.einsum("ij,ij->i", q, q) + projector.largest2 - 2 * bounds, 0)
-                        visit = ~(near >= (reach + SLACK)[:, None])  # all, where no bound is known
-                        visit[np.arange(len(q)), home] = False
-                        row, leaf = np.nonzero(visit)
+                    order = np.argsort(near, axis=1, kind="stable")[:, first:last]
+                    bounds = batch.column("bound").to_numpy(zero_copy_only=False)[part : part + 256].astype(float)
+                    reach = limit * np.maximum(np.einsum("ij,ij->i", q, q) + projector.largest2 - 2 * bounds, 0)
+                    visit = ~(np.take_along_axis(near, order, axis=1) >= (reach + SLACK)[:, None])  # all, where no bound is known
+                    row, nth = np.nonzero(visit)
+                    leaf = order[row, nth]
                     times = blocks[leaf]
                     row, leaf = np.repeat(row, times), np.repeat(leaf, times)
                     block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -226,27 +282,42 @@ def nearest(
                             [
                                 pa.array(numbers[leaf[some : some + 4096]].astype(np.int32)),
                                 pa.array(block[some : some + 4096].astype(np.int32)),
-                                *(batch.column(c).take(r) for c in ("query_id", "vector", "bound")),
+                                *(batch.column(c).take(r) for c in ("key", "query_id", "vector", "bound")),
                             ],
-                            names=["leaf", "block", "query_id", "vector", "bound"],
+                            names=["leaf", "block", "key", "query_id", "vector", "bound"],
                         )
 
         return run
 
-    def visit(asked: DataFrame, first_only: bool) -> DataFrame:
-        schema = "leaf int, block int, query_id long, vector array<double>, bound double"
-        sent = asked.mapInArrow(route(first_only), schema)
-        sent = sent.groupBy("leaf", "block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group"))
-        sent = sent.agg(F.collect_list(F.struct("query_id", "vector", "bound")).alias("queries"))
+    def visit(asked: DataFrame, first: int, last: int) -> DataFrame:
+        schema = "leaf int, block int, key long, query_id long, vector array<double>, bound double"
+        sent = asked.mapInArrow(route(first, last), schema)
+        sent = sent.groupBy("leaf", "block", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"))
+        sent = sent.agg(F.collect_list(F.struct("key", "query_id", "vector", "bound")).alias("queries"))
         pairs = index.join(sent, ["leaf", "block"]).select("rows", "queries")
-        return pairs.mapInArrow(_search(k, projector, limit), "query_id long, vec_id long, score double")
-
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    unknown = F.lit(float("nan")).alias("bound")
-    first = visit(queries.select("query_id", "vector", unknown), True)
-    first = written(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ann-first")
-    bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    asked = queries.join(bounds, "query_id", "left").select("query_id", "vector", F.coalesce("bound", F.lit(float("nan"))).alias("bound"))
-    all_found = first.select("query_id", "vec_id", "score").unionByName(visit(asked, False))
-    ranked = all_found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        return pairs.mapInArrow(_search(k, projector, limit), "key long, query_id long, vec_id long, score double, is_count boolean")
+
+    ranked = W.partitionBy("key", "query_id").orderBy(F.desc("score"), "vec_id")
+    best, first, visits, scored = None, 0, 0, 0
+    while first < len(numbers):
+        last = min(len(numbers), max(1, first * STEP))
+        asked = queries.select("key", "query_id", "vector")
+        if best is None:
+            asked = asked.withColumn("bound", F.lit(float("nan")))
+        else:
+            bounds = best.where(F.col("rank") == k).select("key", "query_id", F.col("score").alias("bound"))
+            asked = asked.join(bounds, ["key", "query_id"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("nan"))))
+        found = written(visit(asked, first, last), "ann-round")
+        sums = found.where("is_count").agg(F.count("*").alias("v"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()
+        visits, scored = visits + sums["v"], scored - int(sums["s"])
+        new = found.where(~F.col("is_count")).drop("is_count")
+        if best is not None:
+            new = best.drop("rank").unionByName(new)
+        best = written(new.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "ann-best")
+        first = last
+        if sums["v"] == 0:
+            break  # every query's search has ended
+    report.update(queries=asking, rows=n, leaves=len(numbers), visits=visits, scored=scored)
+    copies = queries.select("key", "query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    out = best.join(copies, ["key", "query_id"])
+    return out.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
