@@ -280,16 +280,60 @@ def test_fingerprints_recover_digests_by_larger_tables_too(spark):
     assert out.removed == [digest("y\n")] and out.added == [digest("q\n")]
 
 
+def brute_boilerplate(streams, least, run=html.RUN):
+    """Tokens that a substring of run tokens covers which is on so many distinct pages, by its definition."""
+    pages = {}
+    for words in {tuple(x) for x in streams}:
+        for k in range(len(words) - run + 1):
+            pages.setdefault(words[k : k + run], set()).add(words)
+    out = []
+    for words in streams:
+        marks = [False] * len(words)
+        for k in range(len(words) - run + 1):
+            if len(pages[tuple(words[k : k + run])]) >= least:
+                marks[k : k + run] = [True] * run
+        out.append(marks)
+    return out
+
+
+def test_suffix_array_and_boilerplate():
+    gen = random.Random(6)
+    for _ in range(40):
+        phrases = [[gen.choice("abc") for _ in range(gen.randrange(4, 30))] for _ in range(4)]
+        streams = [[x for _ in range(gen.randrange(6)) for x in gen.choice([*phrases, [gen.choice("abcdef")]])] for _ in range(gen.randrange(3, 25))]
+        distinct = len({tuple(x) for x in streams})
+        marks = html.boilerplate(streams)
+        if distinct >= html.LEAST_PAGES:
+            for level, least in ((1, max(3, html.SHARE * distinct)), (2, max(html.OWN_PAGES, html.OWN_SHARE * distinct))):
+                assert [[x >= level for x in m.tolist()] for m in marks] == brute_boilerplate(streams, least)
+        line = [ord(x) for s in streams for x in s] + [1000]
+        order, shared = html.suffix_array(np.asarray(line), 16)
+        keys = [line[k : k + 16] for k in order.tolist()]
+        assert keys == sorted(keys)
+        for x, y, n in zip(keys, keys[1:], shared[1:].tolist(), strict=False):
+            assert n == next((k for k, (i, j) in enumerate(zip(x, y, strict=False)) if i != j), min(len(x), len(y)))
+
+
 def test_html_text(spark):
     site = "<body><div>Welcome to our site home about contact us today</div><div>{}</div><div>All rights reserved by the company since its founding</div></body>"
     article = "<nav><a>Menu</a></nav><article><h1>T</h1><p>One &amp; <b>t</b>wo<p>Three<br>four<aside>x</aside></article><footer>f</footer>"
     rows = [(k, f"http://a.x/{k}", site.format(f"only number{k} " + f"own{k} " * 9)) for k in range(4)]
     rows += [(10, "http://b.x/1", article), (11, None, None), (12, "", ""), (13, "http://b.x/2", article), (13, "http://b.x/2", article)]
-    pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, host string")
+    letter = "Sign our letter and get the news of the week by mail every Monday"
+    shared = "This sentence of ten words is shared by a few articles only"
+    inside = "<article><p>{}<p>{}<p>{}</article>"
+    rows += [(20 + k, f"http://c.x/{k}", inside.format(shared if k % 3 else f"first{k}", f"text{k} " * 30, letter)) for k in range(20)]
+    copy = "<body><p>" + " ".join(f"c{k}" for k in range(90)) + "</p><p>{}</p></body>"
+    rows += [(50 + k, f"http://d.x/{k}", copy.format(f"tail{k}")) for k in range(5)]
+    pages = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, host string, group int")
     found = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert html.extract(pages).count() == len(rows) and html.extract(pages.limit(0)).count() == 0
     assert found[10] == "T\n\nOne & two\n\nThree four" == found[13]
     assert found[11] == found[12] == ""
-    assert "own2 own2" in found[2] and "Welcome" not in found[2] and "rights" not in found[2]
+    assert all(found[k] == f"only number{k} " + " ".join([f"own{k}"] * 9) for k in range(4))
+    for k in range(20):  # the letter is on every page's end, the sentence on a part of the pages
+        assert found[20 + k] == (shared if k % 3 else f"first{k}") + "\n\n" + " ".join([f"text{k}"] * 30)
+    assert all(found[50 + k] == " ".join(f"c{j}" for j in range(90)) + f"\n\ntail{k}" for k in range(5))
 
 
 def test_html_keeps_short_unique_runs(spark):
@@ -300,6 +344,47 @@ def test_html_keeps_short_unique_runs(spark):
     assert all(found[k].startswith(f"price{k} reader") and "Welcome" not in found[k] for k in range(4))
 
 
+def test_html_groups_of_a_hot_host(spark):
+    """A host dealt to many groups gives the same as in one."""
+    site = "<body><div>Welcome to our site home about contact us today</div><div>{}</div></body>"
+    rows = [(k, "http://a.x/", site.format(f"own{k} " * 50)) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for size in (1 << 20, 8_000):
+        found = {r.page_id: r.text for r in html.extract(pages, group_bytes=size).collect()}
+        assert found == {k: " ".join([f"own{k}"] * 50) for k in range(300)}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>a<article class="comment"><p>says who</article></article>', "a"),
+        ('<article class="comment">x</article><article><p>a</article>', "a"),
+        ('<article><div class="side-by-side"><p>l</p></div><section class="search-results">r</section><p class="foot-note">n</p></article>', "l\n\nr\n\nn"),
+        ('<article><p>a</p><div class="share-buttons">s</div><ul id="related-posts"><li>r</ul><p class="ad">buy</p><p class="ad-hoc">b</article>', "a\n\nb"),
+        ('<p title="x>y', "y"),
+        ('<a href="u>v', "v"),
+        ("<p title=it's>x<p title=it's>y", "x\n\ny"),
+        ('<p title="a>b">x', "x"),
+        ("<!-- <article> --><p>a</p>", "a"),
+        ("a < b <3 c<", "a < b <3 c<"),
+        ("<p>a<b c", "a"),
+        ("<script>var t='</p><article>'</script><p>x", "x"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep\n\nafter"),
+    ],
+)
+def test_html_blocks(page, text):
+    assert html.group_texts([page], html.RUN, html.SHARE) == [text]
+
+
+def test_html_scan_is_linear():
+    import time
+
+    for page in ("<a " * 350_000, "<div>" * 200_000, '<p title="x>y' * 80_000, "<!--" * 250_000, "<p><b>" * 150_000, "<a ='" * 200_000):
+        began = time.process_time()
+        html.parse(page)
+        assert time.process_time() - began < 5
+
+
 def test_suffix_tree_scores(spark, empty):
     import math
 
