@@ -148,13 +148,38 @@ def test_substring_dedup(docs, empty):
 
 
 def test_substring_index_over_batches(spark, docs):
-    index = substring.FingerprintIndex(spark)
-    index.add(docs.where("doc_id in (3, 5)")).count()
-    second = {r.doc_id: r.n_removed for r in index.add(docs.where("doc_id in (4, 6, 10)")).collect()}
-    assert second == {4: 900, 6: 50, 10: 0}
+    """Fed in batches the index gives what brute force gives; a retry changes nothing, and history isn't shuffled."""
+    gen = random.Random(12)
+    passages = [[f"q{gen.randrange(40)}" for _ in range(gen.randrange(30, 70))] for _ in range(6)]
+    texts = []
+    for k in range(60):
+        parts = [gen.choice([*passages, [f"u{gen.randrange(9)}" for _ in range(gen.randrange(50))]]) for _ in range(4)]
+        texts.append(" ".join(w for p in parts for w in p))
+    rows = [*enumerate(texts), (100, None), (101, ""), (7, texts[7])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, rid string, h long").repartition(3)
+    expected = Counter((i, b" ".join(words(k.decode()))) for (i, _), k in zip(rows, brute_repeats([words(t) for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, b" ".join(words(r.kept))) for r in substring.remove_repeats(table).collect()) == expected
+
+    index = substring.FingerprintIndex(spark, runs=1)
+    index.add(table.where("doc_id % 3 = 0"))
+    index.add(table.where("doc_id % 3 = 1"))
+    index.add(table.where("doc_id % 3 = 1"))  # a retry
+    assert len(index.batches(substring.RUN)) == 2
+    index.add(table.where("doc_id % 3 = 2"))  # merges the two runs first
+    runs = index.batches(substring.RUN)
+    assert len(runs) == 2 and any("merged" in x for x in runs)
     index.compact()
-    assert len(index._names("run-")) == 1
-    assert index.add(docs.where("doc_id = 5"), keep=False).first().n_removed == 53
+    assert len(index.batches(substring.RUN)) == 1
+    again = substring.FingerprintIndex(spark, index.path)  # as another session would open it
+    assert Counter((r.doc_id, b" ".join(words(r.kept))) for r in again.judge(table).collect()) == expected
+    late = spark.createDataFrame([(500, texts[0])], "doc_id long, text string")
+    again.add(late)
+    assert again.judge(late).first().n_removed == len(words(texts[0]))
+
+    fresh = spark.range(10).select(F.col("id").alias("h")).repartition(int(runs[0].rsplit("-", 1)[1]), "h")
+    plan = fresh.join(again._run(again.batches(substring.RUN)[0]).hint("merge"), "h", "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    again.close()
 
 
 def test_toxicity_learns_and_locates(spark, empty):
