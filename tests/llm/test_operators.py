@@ -82,6 +82,12 @@ def test_simhash_fingerprints_and_components(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def test_keep_first_leaves_columns_of_any_name(spark):
+    rows = [(1, "a b c d", 7, 8, "x"), (2, "a b c d", 9, 10, "y"), (3, "other words are here", 11, 12, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_row long, kept_number long, fp string")
+    assert sorted(map(tuple, simhash.keep_first(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_ball_hashing_loses_no_link(spark):
     base = [rng.getrandbits(64) for _ in range(40)]
     values = {v for b in base for v in [b, *(b ^ sum(1 << k for k in rng.sample(range(64), n)) for n in (1, 2, 3, 4))]}
@@ -472,6 +478,17 @@ def plain_scores(train, texts, penalty=pst.PENALTY, met=pst.MET):
         return total >= met and gain > penalty * len(found) * math.log(total + 1)
 
     tree = {context: found for context, found in tree.items() if passes(found)}
+
+    def diverges(context, found):
+        """From the suffix state, where it stayed, or else the root."""
+        below, total, gain = tree.get(context[1:], {}), sum(found.values()), 0.0
+        for c, n in found.items():
+            p = counts[c] / (tokens + single)
+            p = (below.get(c, 0) + len(below) * p) / (sum(below.values()) + len(below)) if below else p
+            gain += 2 * n * math.log(n / total / p)
+        return gain > penalty * len(found) * math.log(total + 1)
+
+    tree = {context: found for context, found in tree.items() if len(context) == 1 or diverges(context, found)}
     out = []
     for t in texts:
         line, score = [None, None, *t.split(), "\n"], 0.0

@@ -15,10 +15,16 @@ BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send the package to the Python workers and bound the Arrow batches that they get."""
+    """Send the package to the Python workers and bound the Arrow batches that they get.
+
+    Spark reads the bounds when a result is computed, so they can't be put back here; smaller ones that the session has
+    already are left.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+#: Tables that operators of this process wrote and that are still there, and by what table a DataFrame is read.
+_written: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables; to be called when the operators' results are written or no longer needed."""
+    for path in [*_written]:
+        delete(spark, path)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; this cuts lineage."""
+    """Write df as a Parquet table in the shared folder and read it back; this cuts lineage.
+
+    The table stays, as results are read from it later, until clear() is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

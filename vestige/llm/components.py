@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import _written, delete, written
 
 #: Edges that a task merges at once.
 PIECE = 500_000
@@ -78,6 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
     schema = "a long, b long"  # from here on a > b
     now = edges.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_merge, schema)
     now = written(now.distinct(), "components")
+    path = _written[-1]
     for _ in range(ROUNDS):
         # large star: every neighbour above a node is linked to the node's least neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -87,9 +88,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = below.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(below.select("a", F.col("m").alias("b")))
         new = written(small.where(F.col("a") != F.col("b")).mapInArrow(_merge, schema).distinct(), "components")
         if new.count() == now.count() and new.exceptAll(now).isEmpty():
-            now = new
+            delete(edges.sparkSession, _written[-1])  # the same edges as now
             break
-        now = new
+        delete(edges.sparkSession, path)
+        now, path = new, _written[-1]
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     # settled edges are stars around the least nodes

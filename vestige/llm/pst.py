@@ -6,10 +6,12 @@ of them met once, the root gives a known token w the probability n(w) / (N + T)
 symbol T / (N + T).
 
 States of one or two words before a token refine that. A context that is met ``MET`` times at
-least stays if its next symbols diverge from the root's: if twice the log-likelihood ratio beats
-``PENALTY`` per kind of next symbol times the log of its count. All that do stay, in a written table
+least stays if its next symbols diverge from the root's, and one of two words if they diverge from
+its suffix state's as well: if twice the log-likelihood ratio beats ``PENALTY`` per kind of next symbol
+times the log of its count. All that pass the first test stay in a written table
 dealt to parts that grow in number with the training tokens; tokens meet them by a join in these
-parts, and no worker holds more of the tree than a part. Next symbols are here the common words, the end, and one symbol for all other words, which the root then tells apart; other
+parts, where suffixes lie beside their extensions and the second test is made, and no worker holds
+more of the tree than a part. Next symbols are here the common words, the end, and one symbol for all other words, which the root then tells apart; other
 words serve as contexts by a class of their hash. In a state s a symbol c has (n(s,c) + t(s) p(c |
 suffix)) / (n(s) + t(s)), where t(s) counts the distinct symbols seen and p(. | suffix) is the state
 without the first word, or the root. The longest suffix state of a position scores it.
@@ -275,12 +277,28 @@ class WordStates:
 
     @classmethod
     def of(cls, pairs: np.ndarray, counts: np.ndarray) -> WordStates:
-        """From the counts of whole contexts."""
+        """From the counts of whole contexts, each as often as its part has it."""
         pairs, first = np.unique(pairs, return_index=True)
         counts = counts[first].astype(float)
         contexts, owner, kinds = np.unique(pairs >> WORD_BITS, return_inverse=True, return_counts=True)
         return cls(contexts, np.bincount(owner, counts, minlength=len(contexts)), kinds.astype(float), pairs, counts)
 
+    def diverging(self, root: np.ndarray, penalty: float) -> WordStates:
+        """Without the contexts of two words that tell little more than their suffix state."""
+        context = self.pairs >> WORD_BITS
+        p, long = root[self.pairs & ((1 << WORD_BITS) - 1)], np.flatnonzero(context >= 1 << WORD_BITS)
+        suffix = self.pairs[long] & ((1 << 2 * WORD_BITS) - 1)
+        at = np.minimum(np.searchsorted(self.contexts, suffix >> WORD_BITS), len(self.contexts) - 1)
+        known = self.contexts[at] == suffix >> WORD_BITS
+        at, some = at[known], long[known]
+        where = np.minimum(np.searchsorted(self.pairs, suffix[known]), len(self.pairs) - 1)
+        n = np.where(self.pairs[where] == suffix[known], self.counts[where], 0.0)
+        p[some] = (n + self.kinds[at] * p[some]) / (self.totals[at] + self.kinds[at])
+        owner = np.searchsorted(self.contexts, context)
+        gain = 2 * np.bincount(owner, self.counts * np.log(self.counts / self.totals[owner] / p), minlength=len(self.contexts))
+        keep = (self.contexts < 1 << WORD_BITS) | (gain > penalty * self.kinds * np.log(self.totals + 1))
+        return WordStates(self.contexts[keep], self.totals[keep], self.kinds[keep], self.pairs[keep[owner]], self.counts[keep[owner]])
+
     def gains(self, codes: np.ndarray, root: np.ndarray) -> np.ndarray:
         """log10 of each code's probability over that of its symbol at the root."""
         p = root.copy()
@@ -326,6 +344,7 @@ class Corpus:
     common: pa.Table
     deal: Deal
     states: DataFrame
+    penalty: float
 
     def base(self, n):
         """log10 of the smoothed share of a token that occurs n times, as a number or a column."""
@@ -353,7 +372,7 @@ def learn(docs: DataFrame, text_col: str = "text", penalty: float = PENALTY, met
     shared = docs.sparkSession.sparkContext.broadcast((common, deal))  # at most COMMON_WORDS words, 2 ** WORD_BITS numbers
     states = word_states(texts, shared, documents, penalty, met)
     shared.destroy()  # what used it is written
-    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, deal, states)
+    return Corpus(words, documents, sums["n"] + documents, sums["v"] + (documents > 0), sums["single"], common, deal, states, penalty)
 
 
 def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
@@ -453,7 +472,7 @@ def _ask(shared):
     return run
 
 
-def _answer(shared, single: int, tokens: int, documents: int):
+def _answer(shared, single: int, tokens: int, documents: int, penalty: float):
     """Rows come sorted by part, its states before what is asked of them; the gains of each batch's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,7 +490,8 @@ def _answer(shared, single: int, tokens: int, documents: int):
             if not held:
                 continue  # no context of this part passed, so the root has the last word
             if states is None:
-                states = WordStates.of(*map(np.concatenate, zip(*held, strict=True)))
+                states = WordStates.of(*map(np.concatenate, zip(*held, strict=True))).diverging(root, penalty)
+                held = [(states.pairs, states.counts)]
             code, slot = unpacked(data, np.uint32)
             gain = np.bincount(slot, states.gains(code, root[code & ((1 << WORD_BITS) - 1)]))
             at = np.flatnonzero(gain)
@@ -508,7 +528,7 @@ def text_gains(rows: DataFrame, corpus: Corpus, shared) -> DataFrame:
     """
     asked = rows.select("rid", "text").mapInArrow(_ask(shared), DEALT)
     met = corpus.states.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
-    run = _answer(shared, max(corpus.single, 1), corpus.tokens, corpus.documents)
+    run = _answer(shared, max(corpus.single, 1), corpus.tokens, corpus.documents, corpus.penalty)
     dealt = met.mapInArrow(run, DEALT).repartition("batch").sortWithinPartitions("batch", F.desc("kind"))
     # rows alike in id and text share their rid
     return written(dealt.mapInArrow(_add, "rid long, gain double").groupBy("rid").agg(F.max("gain").alias("gain")), "pst-gains")

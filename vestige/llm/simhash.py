@@ -199,6 +199,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = classes(marked.select(F.col("row").alias("doc_id"), "fp")).select("fp", "component")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     first = marked.join(groups, "fp").groupBy("component").agg(least.alias("first")).select(F.col("first.row").alias("kept_row"))
-    stay = docs.withColumn("kept_row", key).join(first, "kept_row", "left_semi")
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), key.alias("kept_row"))
     one = W.partitionBy("kept_row").orderBy("kept_row")
-    return stay.withColumn("kept_number", F.row_number().over(one)).where("kept_number = 1").select(*docs.columns)
+    stay = rows.join(first, "kept_row", "left_semi").withColumn("kept_number", F.row_number().over(one)).where("kept_number = 1")
+    return stay.select("row.*")
