@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .findings import FINDING, code_point, finding, let, none, preview, tally, when
-from .patterns import CONTROLS, EXOTIC, EXOTIC_SPACES, HYPHENS, INVISIBLE_NAMES, OTHER_INVISIBLE, SPACE, carrier
+from .patterns import COMMON, COMPOSED, CONTROLS, EXOTIC, EXOTIC_SPACES, HYPHENS, INVISIBLE_NAMES, LATIN, OTHER_INVISIBLE, SPACE, beyond, carrier
 
 KIND = "invisible-character"
 BIDI = "[‪-‮⁦-⁩]"
@@ -34,8 +34,8 @@ def number(n: Column) -> Column:
 
 
 def carriers(text: Column) -> Column:
-    """Invisible characters that do nothing for their neighbours, in order."""
-    return extract(text, carrier())
+    """Invisible characters that do nothing for their neighbours, in order; the exact pattern runs on uncommon texts only."""
+    return F.when(text.rlike(beyond(COMMON)), extract(text, carrier())).otherwise(F.array().cast("array<string>"))
 
 
 def name(char: Column) -> Column:
@@ -52,7 +52,8 @@ def name(char: Column) -> Column:
 
 def character_counts(text: Column) -> Column:
     """array of struct(c, n, at) over carriers and exotic spaces."""
-    return tally(extract(text, f"{carrier()}|{EXOTIC}"))
+    none = F.array().cast("array<struct<c: string, n: int, at: int>>")
+    return F.when(text.rlike(beyond(COMMON)), tally(extract(text, f"{carrier()}|{EXOTIC}"))).otherwise(none)
 
 
 def character_findings(text: Column) -> Column:
@@ -89,7 +90,8 @@ def lookalike_words(text: Column) -> Column:
 
     empty = F.array().cast("array<string>")
     nothing = F.struct(empty.alias("script"), empty.alias("width"), empty.alias("scripts"))
-    return F.when(text.rlike(r"[\p{IsCyrillic}\p{IsGreek}Ａ-Ｚａ-ｚ]"), let(words, of)).otherwise(nothing)
+    suspect = text.rlike(beyond(LATIN)) & text.rlike(r"[\p{IsCyrillic}\p{IsGreek}Ａ-Ｚａ-ｚ]")
+    return F.when(suspect, let(words, of)).otherwise(nothing)
 
 
 def lookalike_findings(text: Column) -> Column:
@@ -128,7 +130,7 @@ def _forms(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def normal_forms(text: Column) -> Column:
     """struct(decomposed, composed): letters in either form; zeros unless a letter is decomposed."""
     # only a text with a mark, or a compatibility ideograph, can hold a decomposed letter
-    suspect = F.when(text.rlike("[\\p{M}\U0002f800-\U0002fa1d]"), text)
+    suspect = F.when(text.rlike(beyond(COMPOSED)) & text.rlike("[\\p{M}\U0002f800-\U0002fa1d]"), text)
     zero = F.lit(0).cast("long")
     return let(
         _forms(suspect),
@@ -283,8 +285,8 @@ def _payloads(rows: pd.Series) -> pd.Series:
 
 def decoded(text: Column) -> Column:
     """Payloads spelled by the text's carriers, as strings."""
-    found = carriers(text)
-    return F.coalesce(_payloads(F.when(text.rlike(carrier()), F.array_join(found, ""))), F.array().cast("array<string>"))
+    found = F.when(text.rlike(beyond(COMMON)), F.array_join(extract(text, carrier()), ""))
+    return F.coalesce(_payloads(found), F.array().cast("array<string>"))
 
 
 @F.pandas_udf(T.StringType())
@@ -292,20 +294,16 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def composed(text: Column) -> Column:
-    """The text in composed form; below U+0300 every text is."""
-    return F.coalesce(_composed(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
-
-
 def without_carriers(text: Column, normalize_spaces: bool = True) -> Column:
     out = F.regexp_replace(text, carrier(), "")
-    return F.regexp_replace(out, EXOTIC, " ") if normalize_spaces else out
+    out = F.regexp_replace(out, EXOTIC, " ") if normalize_spaces else out
+    return F.when(text.rlike(beyond(COMMON)), out).otherwise(text)
 
 
 def clean_text(text: Column, normalize_spaces: bool = True, normalize: bool = True) -> Column:
-    """Without carriers, exotic spaces made plain, and in composed form."""
+    """Without carriers, exotic spaces made plain, and in composed form; below U+0300 every text is, cleaned or not."""
     out = without_carriers(text, normalize_spaces)
-    return composed(out) if normalize else out
+    return F.coalesce(_composed(F.when(text.rlike(beyond(COMPOSED)), out)), out) if normalize else out
 
 
 def cleaned(text: str) -> str:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .findings import FINDING, FINDING_TYPE, finding, first_each, let, none, trim
+from .findings import FINDING, FINDING_TYPE, either, finding, first_each, let, none, trim
 from .patterns import (
     API_IDENTIFIERS,
     ASSEMBLED,
@@ -18,7 +18,6 @@ from .patterns import (
     CREDENTIAL,
     METADATA_CREDENTIALS,
     MODELS,
-    SCAN_LIMIT,
     SOURCE_TYPE,
     SOURCE_TYPE_IN_TEXT,
     SOURCE_TYPES,
@@ -27,6 +26,7 @@ from .patterns import (
     TOOLS,
     TRACES,
     java,
+    needles,
 )
 
 
@@ -47,14 +47,14 @@ def labelled(findings: Column, label: str) -> Column:
     return F.filter(findings, lambda f: f["label"] == label)
 
 
-def scan_content(text: Column, location: str | Column) -> Column:
-    """Findings of the content patterns, each distinct value of a label once."""
-    body = F.substring(text, 1, SCAN_LIMIT)
+def scan_content(text: Column, location: str | Column, limit: int | None = None) -> Column:
+    """Findings of the content patterns, each distinct value of a label once, in the whole text or its first ``limit`` characters."""
+    body = text if limit is None else F.substring(text, 1, limit)
     parts = []
     for label, kind, pattern, masked in CONTENT:
         found = F.regexp_extract_all(body, F.lit(java(pattern)), F.lit(0))
-        # the loop over matches runs only where there is one
-        found = F.when(body.rlike(java(pattern)), found).otherwise(F.array().cast("array<string>"))
+        # a plain search spares most texts the pattern
+        found = F.when(either([F.contains(body, F.lit(x)) for x in needles(pattern)]), found).otherwise(F.array().cast("array<string>"))
         values = F.array_distinct(F.transform(found, mask) if masked else found)
         name = (CREDENTIAL if masked else "") + label
         parts.append(told_each(values, kind, location, name))
@@ -64,7 +64,8 @@ def scan_content(text: Column, location: str | Column) -> Column:
 def find_source_types(text: Column, location: str | Column) -> Column:
     """Declarations in the IPTC vocabulary, each term once."""
     terms = F.array_distinct(F.regexp_extract_all(text, F.lit(java(SOURCE_TYPE_IN_TEXT)), F.lit(1)))
-    return F.flatten(F.transform(terms, lambda t: describe_source_type(t, location)))
+    rows = F.flatten(F.transform(terms, lambda t: describe_source_type(t, location)))
+    return F.when(F.contains(text, F.lit("igitalSourceType")), rows).otherwise(none())
 
 
 def describe_source_type(value: Column, location: str | Column) -> Column:
@@ -127,11 +128,11 @@ def derive(findings) -> list[dict]:
     return [*out.values()]
 
 
-@F.pandas_udf(FINDING_TYPE)
-def fingerprint(findings: pd.Series) -> pd.Series:
+@F.arrow_udf(FINDING_TYPE)
+def fingerprint(findings: pa.Array) -> pa.Array:
     """derive() of each row's findings: some sixty patterns a finding, which are faster here than as columns."""
-    return findings.map(lambda rows: derive(rows) if rows is not None else [])
-
+    kind = pa.list_(pa.struct([(f.name, pa.string()) for f in FINDING_TYPE.elementType.fields]))
+    return pa.array([derive(rows or []) for rows in findings.to_pylist()], kind)
 
 
 def provenance(findings: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def either(conditions: list[Column]) -> Column:
+    return functools.reduce(Column.__or__, conditions)
+
+
 def trim(value: Column) -> Column:
     return F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
 

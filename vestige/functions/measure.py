@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .findings import let
-from .patterns import CJK, CODE_LINE, COMMENT_LINE, PHRASES, SPACE, java
+from .findings import either, let
+from .patterns import CJK, CODE_LINE, COMMENT_LINE, PHRASES, SPACE, java, needles
 
 WORD = r"[\p{L}\p{N}'’-]+"
 SENTENCE_END = f"(?<=[.!?…])[\"'»”]?[{SPACE}]+(?=[«\"'“]?\\p{{Lu}})"
@@ -45,19 +45,18 @@ def exposure(text: Column) -> Column:
         n = F.size(all_)
         return F.struct((F.when(n > 0, codes / n).otherwise(0.0) > 0.25).alias("code"), comments.cast("long").alias("comments"), n.cast("long").alias("lines"))
 
-    def whole(c: Column) -> Column:
-        return F.struct(
-            characters(text).alias("characters"),
-            words(text).alias("words"),
-            low.alias("low"),
-            high.alias("high"),
-            band.alias("band"),
-            c["code"].alias("code"),
-            c["comments"].alias("comment_lines"),
-            c["lines"].alias("non_blank_lines"),
-        )
-
-    return let(let(lines, choice), whole)
+    c = let(lines, choice)
+    # fields of their own, so that those which nobody selects aren't computed
+    return F.struct(
+        characters(text).alias("characters"),
+        words(text).alias("words"),
+        low.alias("low"),
+        high.alias("high"),
+        band.alias("band"),
+        c["code"].alias("code"),
+        c["comments"].alias("comment_lines"),
+        c["lines"].alias("non_blank_lines"),
+    )
 
 
 def style_words(text: Column) -> Column:
@@ -87,57 +86,74 @@ def mean_and_burstiness(lengths: Column) -> Column:
     return let(lengths, of)
 
 
-def phrase_counts(text: Column) -> Column:
-    """array of struct(label, count, least) over the phrases, in their order."""
+def phrase_counts(text: Column, languages: tuple[str, ...] = ("fr", "en")) -> Column:
+    """array of struct(label, count, least) over the phrases of the languages, in their order.
+
+    A pattern runs only on texts that have one of its needles; letters that only some case rules fold count as having them.
+    """
+    low, odd = F.lower(text), text.rlike("[ſıİ\u212a]")
+
+    def count(pattern: str) -> Column:
+        n = F.regexp_count(text, F.lit("(?iu)" + java(pattern)))
+        has = [F.contains(low, F.lit(x.lower())) for x in needles(pattern)]
+        return (F.when(either([*has, odd]), n).otherwise(F.lit(0)) if has else n).cast("long")
+
     return F.array(
         *(
-            F.struct(
-                F.lit(label).alias("label"),
-                F.regexp_count(text, F.lit("(?iu)" + java(pattern))).cast("long").alias("count"),
-                F.lit(least).cast("double").alias("least"),
-            )
-            for label, _, least, pattern in PHRASES
+            F.struct(F.lit(label).alias("label"), count(pattern).alias("count"), F.lit(least).cast("double").alias("least"))
+            for label, language, least, pattern in PHRASES
+            if language in languages
         )
     )
 
 
-def style(text: Column) -> Column:
-    """struct of all style measures, with the indicators sorted by count and label."""
-
-    def of(found: Column) -> Column:
-        n = F.size(found)
-        rate = lambda x: F.when(n > 0, x * 1000 / n).otherwise(0.0)
-        sample = F.transform(F.slice(found, 1, SAMPLE_WORDS), F.lower)
-        richness = F.when(n > 0, F.size(F.array_distinct(sample)) / F.size(sample)).otherwise(0.0)
-        paragraphs = F.filter(F.split(text, "\n{2,}"), lambda p: p.rlike(f"[^{SPACE}]"))
-        bold = f"^[{SPACE}]*(?:[-*+][{SPACE}]+)?\\*\\*[^*\n]{{2,60}}\\*\\*"
-        bolded = let(paragraphs, lambda ps: F.when(F.size(ps) > 0, F.size(F.filter(ps, lambda p: p.rlike(bold))) / F.size(ps)).otherwise(0.0))
-        dashes = rate(F.regexp_count(text, F.lit("[—–]")))
-        kept = F.filter(phrase_counts(text), lambda p: (p["count"] > 0) & (p["least"].isNull() | ((p["count"] >= 2) & (rate(p["count"]) >= p["least"]))))
-        rows = F.transform(kept, lambda p: F.struct((-p["count"]).alias("n"), p["label"].alias("label")))
-        ordered = F.transform(
-            F.array_sort(rows), lambda r: F.struct(r["label"].alias("label"), (-r["n"]).alias("count"), rate(-r["n"]).alias("rate"))
-        )
-        lengths = sentence_lengths(text)
-
-        def whole(x: Column) -> Column:
-            present = F.size(x["i"]) + ((x["s"]["burstiness"] > 0) & (x["s"]["burstiness"] < 0.35)).cast("int") + (dashes > 4).cast("int")
-            band = F.when(n < LEAST_WORDS, "too-short").when(present >= 6, "many").when(present >= 2, "several").otherwise("few")
-            return F.struct(
-                n.cast("long").alias("words"),
-                F.size(x["l"]).cast("long").alias("sentences"),
-                x["s"]["mean"].alias("mean_sentence"),
-                x["s"]["burstiness"].alias("burstiness"),
-                dashes.alias("dash_rate"),
-                bolded.alias("bold_lead_ins"),
-                richness.alias("vocabulary_richness"),
-                x["i"].alias("indicators"),
-                band.alias("band"),
-            )
-
-        return let(
-            let(lengths, lambda ls: F.struct(ls.alias("l"), mean_and_burstiness(ls).alias("s"), ordered.alias("i"))),
-            whole,
-        )
-
-    return let(style_words(text), of)
+def bold_lead_ins(text: Column) -> Column:
+    """Share of the paragraphs that open in bold."""
+    paragraphs = F.filter(F.split(text, "\n{2,}"), lambda p: p.rlike(f"[^{SPACE}]"))
+    bold = f"^[{SPACE}]*(?:[-*+][{SPACE}]+)?\\*\\*[^*\n]{{2,60}}\\*\\*"
+    share = let(paragraphs, lambda ps: F.size(F.filter(ps, lambda p: p.rlike(bold))) / F.size(ps))
+    return F.when(F.contains(text, F.lit("**")), F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def indicators(phrases: Column, n: Column) -> Column:
+    """array of struct(label, count, rate) of the phrases that count in a text of n words, by count and label."""
+    rate = lambda x: F.when(n > 0, x * 1000 / n).otherwise(0.0)
+    kept = F.filter(phrases, lambda p: (p["count"] > 0) & (p["least"].isNull() | ((p["count"] >= 2) & (rate(p["count"]) >= p["least"]))))
+    rows = F.transform(kept, lambda p: F.struct((-p["count"]).alias("n"), p["label"].alias("label")))
+    return F.transform(F.array_sort(rows), lambda r: F.struct(r["label"].alias("label"), (-r["n"]).alias("count"), rate(-r["n"]).alias("rate")))
+
+
+#: Columns that with_style() makes, and those that it makes for itself.
+STYLE = ("words", "sentences", "mean_sentence", "burstiness", "dash_rate", "bold_lead_ins", "vocabulary_richness", "indicators", "band")
+OWN = ("_style_words", "_style_lengths", "_style_spread", "_style_phrases", "_style_present")
+
+
+def with_style(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
+    """df with all style measures as columns of their own, so that those which nobody selects aren't computed.
+
+    A null text counts as empty. The words and the sentences' lengths are made once, in steps of their own.
+    """
+    text = F.coalesce(text, F.lit(""))
+    name = {c: f"{prefix}{c}" for c in STYLE}
+    rows = df.withColumn("_style_words", style_words(text)).withColumn("_style_lengths", sentence_lengths(text))
+    rows = rows.withColumn("_style_spread", mean_and_burstiness(F.col("_style_lengths"))).withColumn("_style_phrases", phrase_counts(text))
+    n = F.size("_style_words")
+    sample = F.transform(F.slice("_style_words", 1, SAMPLE_WORDS), F.lower)
+    richness = F.when(n > 0, F.size(F.array_distinct(sample)) / F.least(n, F.lit(SAMPLE_WORDS))).otherwise(0.0)
+    rows = rows.withColumns(
+        {
+            name["words"]: n.cast("long"),
+            name["sentences"]: F.size("_style_lengths").cast("long"),
+            name["mean_sentence"]: F.col("_style_spread.mean"),
+            name["burstiness"]: F.col("_style_spread.burstiness"),
+            name["dash_rate"]: F.when(n > 0, F.regexp_count(text, F.lit("[—–]")) * 1000 / n).otherwise(0.0),
+            name["bold_lead_ins"]: bold_lead_ins(text),
+            name["vocabulary_richness"]: richness,
+            name["indicators"]: indicators(F.col("_style_phrases"), n),
+        }
+    )
+    spread = F.col(name["burstiness"])
+    present = F.size(name["indicators"]) + ((spread > 0) & (spread < 0.35)).cast("int") + (F.col(name["dash_rate"]) > 4).cast("int")
+    rows, at = rows.withColumn("_style_present", present), F.col("_style_present")
+    band = F.when(F.col(name["words"]) < LEAST_WORDS, "too-short").when(at >= 6, "many").when(at >= 2, "several").otherwise("few")
+    return rows.withColumn(name["band"], band).drop(*OWN)

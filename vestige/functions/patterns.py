@@ -332,6 +332,87 @@ CJK = "[぀-ヿ㐀-䶿一-鿿豈-﫿]"
 LETTER = "A-Za-z0-9_"
 
 
+def closing(pattern: str, start: int) -> int:
+    """Where the group or class that opens at start ends."""
+    k, depth = start + 1, 1
+    in_class = pattern[start] == "["
+    while depth:
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif in_class:
+            depth -= c == "]"
+        elif c == "[":
+            k = closing(pattern, k)
+        else:
+            depth += (c == "(") - (c == ")")
+        k += 1
+    return k - 1
+
+
+def alternatives(pattern: str) -> list[str]:
+    out, k, last = [], 0, 0
+    while k < len(pattern):
+        if pattern[k] == "\\":
+            k += 1
+        elif pattern[k] in "([":
+            k = closing(pattern, k)
+        elif pattern[k] == "|":
+            out.append(pattern[last:k])
+            last = k + 1
+        k += 1
+    return [*out, pattern[last:]]
+
+
+def needles(pattern: str) -> list[str]:
+    """Texts of which every match of the pattern has one; a plain search for them spares most texts the pattern.
+
+    Empty where no such texts are found.
+    """
+    pattern = re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    out = []
+    for one in alternatives(pattern):
+        found, run, k = [], "", 0
+
+        def done() -> None:
+            nonlocal run
+            if run:
+                found.append([run])
+            run = ""
+
+        while k < len(one):
+            c, end = one[k], k
+            literal, group = c, None
+            if c == "\\":
+                end, literal = k + 1, "" if one[k + 1].isalnum() else one[k + 1]
+            elif c in "([":
+                end, literal = closing(one, k), ""
+                group = needles(one[k + 3 : end]) if one.startswith("(?:", k) else None
+            elif c in ".^$":
+                literal = ""
+            after = one[end + 1 : end + 2]
+            optional = after in ("?", "*", "{")
+            if literal and not optional:
+                run += literal
+            else:
+                done()
+                if group and not optional:
+                    found.append(group)
+            k = end + 1
+            if after in ("?", "*", "+", "{"):
+                done()
+                k = closing_brace(one, k) if after == "{" else k + 1
+        done()
+        if not found:
+            return []
+        out += max(found, key=lambda x: min(map(len, x)))
+    return out if min(map(len, out)) > 1 else []
+
+
+def closing_brace(pattern: str, start: int) -> int:
+    return pattern.index("}", start) + 1
+
+
 def java(pattern: str) -> str:
     """The pattern for Java, with boundaries of ASCII words and wide white space.
 
@@ -405,4 +486,18 @@ def carrier() -> str:
     )
 
 
+#: Characters of which none is invisible, a format character or an exotic space.
+COMMON = (
+    r"\x00-\x{9F}\x{A1}-\x{AC}\x{AE}-\x{34E}\x{350}-\x{5FF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{2070}-\x{27FF}"
+    r"\x{3001}-\x{3163}\x{3165}-\x{D7FF}"
+)
+#: Characters below the combining marks, where every text is in composed form; and Latin ones with the usual punctuation.
+COMPOSED, LATIN = r"\x00-\x{2FF}", r"\x00-\x{36F}\x{2010}-\x{2027}\x{2030}-\x{205E}"
+
+
+def beyond(members: str) -> str:
+    """A pattern that finds whether a text has a character that isn't a member: one possessive run, fast where all are."""
+    return rf"(?s)\A[{members}]*+."
+
+
 EXOTIC = "[" + "".join(map(chr, EXOTIC_SPACES)) + "]"

@@ -6,7 +6,7 @@ import re
 from functools import cache
 
 from .content import masked
-from .patterns import CONTENT, CREDENTIAL, SCAN_LIMIT, SOURCE_TYPE, SOURCE_TYPE_IN_TEXT, SOURCE_TYPES
+from .patterns import CONTENT, CREDENTIAL, SOURCE_TYPE, SOURCE_TYPE_IN_TEXT, SOURCE_TYPES
 
 Row = dict[str, str]
 WIDE = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
@@ -23,9 +23,9 @@ def python(pattern: str) -> re.Pattern:
     return re.compile(inside.replace(r"\s", f"[{WIDE}]"), re.ASCII)
 
 
-def content_rows(text: str, location: str) -> list[Row]:
-    """Findings of the content patterns, each label and value once."""
-    body, out = text[:SCAN_LIMIT], {}
+def content_rows(text: str, location: str, limit: int | None = None) -> list[Row]:
+    """Findings of the content patterns, each label and value once, in the whole text or its first ``limit`` characters."""
+    body, out = text[:limit], {}
     for label, kind, pattern, secret in CONTENT:
         for m in python(pattern).finditer(body):
             value, name = (masked(m[0]), CREDENTIAL + label) if secret else (m[0], label)

@@ -142,9 +142,9 @@ def phrase_sql(pattern: str) -> str:
       FROM s""",
 )
 def style_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = docs(spark, sf_dir).select("doc_id", measure.style(F.col("t")).alias("s"))
+    s = measure.with_style(docs(spark, sf_dir), F.col("t"))
     rounded = {"mean_sentence": "mean_sentence", "burstiness": "burstiness", "dash_rate": "dash_rate", "vocabulary_richness": "richness"}
-    return s.select("doc_id", "s.words", "s.sentences", *(F.round(f"s.{c}", 6).alias(a) for c, a in rounded.items()))
+    return s.select("doc_id", "words", "sentences", *(F.round(c, 6).alias(a) for c, a in rounded.items()))
 
 
 @register(
@@ -161,8 +161,8 @@ def style_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("style_bands")
 def style_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = docs(spark, sf_dir).select("doc_id", measure.style(F.col("t")).alias("s"))
-    return s.select("doc_id", "s.band", F.size("s.indicators").alias("indicators"))
+    s = measure.with_style(docs(spark, sf_dir), F.col("t"))
+    return s.select("doc_id", "band", F.size("indicators").alias("indicators"))
 
 
 INVISIBLE_SQL = "[\\x{AD}\\x{34F}\\x{61C}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}]"

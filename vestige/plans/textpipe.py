@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.chars import ARRANGEMENT, KIND, clean_text, decoded, normal_forms, scan_text
-from ..functions.content import derive, find_source_types, provenance, scan_content, verdict
-from ..functions.findings import FINDING, FINDING_TYPE, by_confidence, exploded, finding, let
+from ..functions.content import find_source_types, fingerprint, provenance, scan_content, verdict
+from ..functions.findings import FINDING, by_confidence, exploded, finding, let
 from ..functions.mail import email_headers, strip_tool_headers
 from ..functions.markup import detect_format, own_findings, redact_markup, visible_text
 from ..functions.patterns import BODY_TEXT
@@ -52,19 +48,6 @@ def found() -> Column:
     )
 
 
-def with_derived(rows: DataFrame) -> DataFrame:
-    """rows with _derived, what the findings in _given give away."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("_derived", FINDING_TYPE)])
-    kind = pa.list_(pa.struct([(f.name, pa.string()) for f in FINDING_TYPE.elementType.fields]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            derived = [derive(x or []) for x in batch.column("_given").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(derived, kind)], names=[*batch.schema.names, "_derived"])
-
-    return rows.mapInArrow(run, schema)
-
-
 def inspect_text(df: DataFrame, text_col: str = "text", hint: Column | None = None, out: str = "findings", container: Column | None = None) -> DataFrame:
     """df with format and findings columns; a null text has a null format and no findings.
 
@@ -85,7 +68,8 @@ def inspect_text(df: DataFrame, text_col: str = "text", hint: Column | None = No
     place = F.when(F.col("format") == "text", PLACE).otherwise(BODY)
     body = F.array(finding("provenance", "informational", place, BODY_TEXT, F.col("_body"))).cast(FINDING)
     given = F.when(F.col("_container").isNotNull(), F.col("_found")).otherwise(F.concat(F.col("_found"), body))
-    rows = with_derived(rows.withColumn("_given", given))
+    # so that no filter is pushed below it, which would derive twice
+    rows = rows.withColumn("_given", given).withColumn("_derived", fingerprint.asNondeterministic()(F.col("_given")))
     whole = by_confidence(F.concat(F.col("_found"), F.col("_derived")))
     return rows.withColumn(out, F.when(F.col("format").isNotNull(), whole).otherwise(F.array().cast(FINDING))).drop(*OWN)
 
