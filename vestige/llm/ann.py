@@ -6,11 +6,12 @@ being the largest norm, a query gets 0; then |q' - v'|^2 = |q|^2 + M^2 - 2 <q, v
 ones times a chi-square variable. A kd-tree over a bounded sample (``SAMPLE`` rows) cuts the
 projected space into leaves, every row goes to its leaf, and each leaf's box is that of all its
 rows. The search is incremental: queries visit leaves in the order of their boxes' projected
-distance, ``STEP`` times as many in each round as before, and within a block rows in the order of
-their own projected distance, some at a time. Rows are verified by inner products of the original
+distance, ``STEP`` times as many in each round as before, and within a block the rows of least
+projected distance come first. Rows are verified by inner products of the original
 vectors in double precision, and the distance d of the 20th best so far shrinks. A query's search
 ends where the next projected distance p fails the test chi2(p^2 / d^2) < ``SURE``: beyond, a nearer
-row is as unlikely. Rows that fail it in a visited block aren't scored.
+row is as unlikely. Rows that fail it in a visited block aren't looked for; they aren't scored either,
+but where most of a block passes and one product of all is cheaper.
 
 Leaves are stored in blocks of bounded size, so a vector that many rows share fills blocks, not one
 task. The queries are a stated set and meet blocks of rows: that isn't a join of all pairs.
@@ -119,32 +120,38 @@ def valid(vector: Column) -> Column:
 def verify(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, gap: np.ndarray, reach0: np.ndarray, bounds: np.ndarray, limit: float, k: int):
     """Of each query the places of its k best rows and their scores, and how many rows were scored.
 
-    gap holds projected squared distances; own the row that is the query itself, or -1; reach0 + limit * -2 * bound is
-    how far the test lets a query look. Rows come in the order of their gap, VERIFIED at a time.
+    gap holds projected squared distances; own the row that is the query itself, or -1; limit * (reach0 - 2 * bound) is
+    how far the test lets a query look. Of a query that many rows pass, the VERIFIED nearest in projection are scored
+    first, which raises the bound for the others. Where over a quarter of all pairs pass at the outset, one product of
+    the blocks is cheaper than picking rows, and scores them all.
     """
-    scored = 0
+    first = ~(gap >= (limit * np.maximum(reach0 - 2 * bounds, 0) + SLACK)[:, None])  # all, where no bound is known
+    whole = queries @ vectors.T if first.mean() > 0.25 else None
     for q in range(len(queries)):
-        order = np.argsort(gap[q], kind="stable")
-        near, best, score, bound, at = gap[q][order], np.empty(0, dtype=np.int64), np.empty(0), bounds[q], 0
-        while at < len(order):
-            stop = at + VERIFIED
-            if not math.isnan(bound):
-                stop = min(stop, int(np.searchsorted(near, limit * max(reach0[q] - 2 * bound, 0.0) + SLACK)))
-            part = order[at:stop]
-            if not len(part):
-                break
-            at += len(part)
-            part = part[part != own[q]]
-            # summed alike wherever a vector stands, so that equal vectors tie
-            best, score = np.concatenate([best, part]), np.concatenate([score, (vectors[part] * queries[q]).sum(axis=1)])
-            scored += len(part)
-            top = np.lexsort((ids[best], -score))[:k]
-            best, score = best[top], score[top]
-            if len(score) == k:
-                bound = score[-1] if math.isnan(bound) else max(bound, score[-1])
-        keep = score >= (bounds[q] - SLACK if not math.isnan(bounds[q]) else -math.inf)
-        yield best[keep], score[keep], scored
-        scored = 0
+        at, bound = np.flatnonzero(first[q]), bounds[q]
+        at = at[at != own[q]]
+        if whole is not None:
+            score, scored = whole[q][at], len(vectors)
+        else:
+            if len(at) > 2 * VERIFIED:
+                near = np.argpartition(gap[q][at], VERIFIED)
+                near, rest = at[near[:VERIFIED]], at[near[VERIFIED:]]
+                score = vectors[near] @ queries[q]
+                kth = np.partition(score, -k)[-k] if len(score) >= k else -math.inf
+                bound = kth if math.isnan(bound) else max(bound, kth)
+                rest = rest[gap[q][rest] < limit * max(reach0[q] - 2 * bound, 0.0) + SLACK]
+                at, score = np.concatenate([near, rest]), np.concatenate([score, vectors[rest] @ queries[q]])
+            else:
+                score = vectors[at] @ queries[q]
+            scored = len(at)
+        if not math.isnan(bound):
+            at, score = at[score >= bound - SLACK], score[score >= bound - SLACK]
+        if len(at) > k:
+            at = at[score >= np.partition(score, -k)[-k] - SLACK]
+        # summed alike wherever a vector stands, so that equal vectors tie
+        exact = (vectors[at] * queries[q]).sum(axis=1)
+        best = np.lexsort((ids[at], -exact))[:k]
+        yield at[best], exact[best], scored
 
 
 def _search(k: int, projector: Projector, limit: float):
