@@ -77,18 +77,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OTHER_CLASSES = FIRST_WORD + COMMON_WORDS
 
 
-def word_codes(texts: list[list[bytes]], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Numbers(dict):
+    """Numbers of the common words; any other word has that of a class of its hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        return OTHER_CLASSES + xxhash.xxh3_64_intdigest(word) % ((1 << WORD_BITS) - OTHER_CLASSES)
+
+
+def word_codes(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: its two words before and its symbol as one code, the number of its text, and
     its symbol. The first token comes after two begin marks."""
-    get, hashed = numbers.get, xxhash.xxh3_64_intdigest
-    width = (1 << WORD_BITS) - OTHER_CLASSES
+    get = numbers.__getitem__
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 3
     line = np.empty(int(lengths.sum()), dtype=np.int64)
     at = 0
     for words in texts:
         line[at : at + 2] = BEGIN
-        found = [*map(get, words)]
-        line[at + 2 : at + 2 + len(words)] = [OTHER_CLASSES + hashed(w) % width if x is None else x for x, w in zip(found, words, strict=True)]
+        line[at + 2 : at + 2 + len(words)] = [*map(get, words)]
         line[at + 2 + len(words)] = STOP_TEXT
         at += len(words) + 3
     owner = np.repeat(np.arange(len(texts)), lengths)
@@ -184,8 +189,8 @@ def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.bincount(where, n, minlength=len(code)).astype(np.int64)
 
 
-def numbers_of(common: pa.Table) -> dict[bytes, int]:
-    return {w.encode(): FIRST_WORD + k for k, w in enumerate(common.column("word").to_pylist())}
+def numbers_of(common: pa.Table) -> Numbers:
+    return Numbers({w.encode(): FIRST_WORD + k for k, w in enumerate(common.column("word").to_pylist())})
 
 
 def _count_word_codes(shared):
@@ -387,17 +392,18 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
 
 
 class Known:
-    """For each Python worker: common words with their base and root scores."""
+    """For each Python worker: numbers of the common words, and base and root scores by number, 0 for others."""
 
-    held: tuple = ("", {})
+    held: tuple = ("", None)
 
     @classmethod
-    def of(cls, key: str, names: pa.Table, over: float, single: int, tokens: int) -> dict:
+    def of(cls, key: str, names: pa.Table, over: float, single: int, tokens: int) -> tuple[Numbers, np.ndarray, np.ndarray]:
         if cls.held[0] != key:
-            cls.held = ("", {})  # gone before the next is made
-            words, n = names.column("word").to_pylist(), names.column("n").to_numpy().astype(float)
-            base, score = np.log10((n + 0.5) / over), np.log10(n / (tokens + single))
-            cls.held = key, {w.encode(): (b, s) for w, b, s in zip(words, base.tolist(), score.tolist(), strict=True)}
+            cls.held = ("", None)  # gone before the next is made
+            n = names.column("n").to_numpy().astype(float)
+            scores = np.zeros((2, 1 << WORD_BITS))
+            scores[:, FIRST_WORD : FIRST_WORD + len(n)] = np.log10((n + 0.5) / over), np.log10(n / (tokens + single))
+            cls.held = key, (numbers_of(names), *scores)
         return cls.held[1]
 
 
@@ -418,18 +424,19 @@ def signed_hash(word: bytes) -> int:
 
 def _score(key: str, shared, over: float, single: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known.of(key, shared.value[0], over, single, tokens)
+        numbers, base_of, score_of = Known.of(key, shared.value[0], over, single, tokens)
+        get = numbers.__getitem__
         for batch in batches:
             n_tokens, n_known, base, score, rare = [], [], [], [], []
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             for words in texts:
-                found = [*map(known.get, words)]
-                here = [x for x in found if x is not None]
+                found = np.asarray([*map(get, words)], dtype=np.int64)
+                others = np.flatnonzero(found >= OTHER_CLASSES).tolist()
                 n_tokens.append(len(words) + 1)
-                n_known.append(len(here))
-                base.append(math.fsum(b for b, _ in here))
-                score.append(math.fsum(s for _, s in here))
-                rare.append([w for w, x in zip(words, found, strict=True) if x is None])
+                n_known.append(len(words) - len(others))
+                base.append(float(base_of[found].sum()))
+                score.append(float(score_of[found].sum()))
+                rare.append([words[k] for k in others])
             hashes = {w: signed_hash(w) for words in rare for w in words}
             columns = {
                 "n_tokens": pa.array(n_tokens, pa.int64()),
