@@ -430,7 +430,9 @@ def java(pattern: str) -> str:
             wide = r"\p{L}\p{N}_" if (before and ord(before) > 127) or (after and ord(after) > 127) else LETTER
             word_after = bool(after) and (after.isalnum() or after == "_" or pattern[k + 2 :].startswith(("(?:", "[")))
             word_before = bool(before) and (before.isalnum() or before in "_)*+?}]") and k > 0 and not (k > 0 and pattern[k - 1] == "|")
-            if word_after and not word_before:
+            sure_after = bool(after) and (after.isalnum() or after == "_")
+            sure_before = bool(before) and (before.isalnum() or before == "_") and not (k > 1 and pattern[k - 2] == "\\")
+            if (sure_after and not sure_before) or (word_after and not word_before):
                 out.append(f"(?<![{wide}])")
             elif word_before:
                 out.append(f"(?![{wide}])" if before not in "*" else r"\b")

@@ -62,6 +62,7 @@ AFTER = {
     6: "a\r\nb\nc", 7: "\x07 bell \x1b[0m\x07", 8: " раyраl аpple", 9: " ＡBC", 10: " " + SECRET + " ghp_" + "b" * 36 + " " + SECRET,
     11: ' digitalSourceType="trainedAlgorithmicMedia" digitalSourceType: compositeCapture digitalSourceType=digitalArt',
     12: " saved in /home/ann/x and /tmp/run1 by session_abcdef9", 13: "‮ reversed ⁦",
+    16: " Il est important de noter : n'hésitez pas à lire, en résumé, ce qui joue un rôle clé et crucial ; que ce soit ici ou là",
     14: " it is important to note that we delve into a tapestry — quietly, quietly", 15: " AKIA" + "Q" * 16 + " api.openai.com/v1 msg_" + "z" * 24,
 }
 MAIL = "From: A <a@example.org>\nTo: b@example.org\nReceived: one\nReceived: two\n  folded\nX-Mailer: Mailer 1\nX-Custom-Run: 42\nSubject: s\nMessage-ID: <1@host>\n\n"
@@ -147,19 +148,41 @@ def style_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "words", "sentences", *(F.round(c, 6).alias(a) for c, a in rounded.items()))
 
 
+def counted_sql(pattern: str) -> str:
+    """phrase_sql() with the boundaries that are meant after an accented letter."""
+    for end in ("résumé", "pas à"):
+        pattern = pattern.replace(end + r"\b", end + r"(?:[^\pL\pN_]|$)")
+    return phrase_sql(pattern.replace(r"clé|essentiel)\b", r"clé|essentiel)(?:[^A-Za-z0-9_]|$)"))
+
+
 @register(
     "style_phrases",
     "SELECT * FROM (SELECT doc_id, unnest(["
-    + ", ".join(f"{{'label': {quoted(label)}, 'n': {phrase_sql(pattern)}}}" for label, lang, _, pattern in PHRASES if lang == "en")
+    + ", ".join(f"{{'label': {quoted(label)}, 'n': {counted_sql(pattern)}}}" for label, _, _, pattern in PHRASES)
     + f"], recursive := true) FROM {DOCS_SQL}) WHERE n > 0",
 )
 def style_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = [label for label, lang, *_ in PHRASES if lang == "en"]
     rows = docs(spark, sf_dir).select("doc_id", F.explode(measure.phrase_counts(F.col("t"))).alias("p"))
-    return rows.select("doc_id", "p.label", F.col("p.count").alias("n")).where((F.col("n") > 0) & F.col("label").isin(english))
+    return rows.select("doc_id", "p.label", F.col("p.count").alias("n")).where("n > 0")
+
+
+def indicator_sql(least: float | None) -> str:
+    return "(c > 0)::INT" if least is None else f"(c >= 2 AND c * 1000.0 / n >= {least})::INT"
 
 
-@register("style_bands")
+@register(
+    "style_bands",
+    f"""WITH w AS MATERIALIZED (SELECT doc_id, t, len(regexp_extract_all(t, {sql_string(WORD)})) AS n,
+          list_filter(list_transform(string_split(regexp_replace(t, '{BREAK}', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+            lambda s: len(regexp_extract_all(s, {sql_string(WORD)}))), lambda x: x > 0) AS ls FROM {DOCS_SQL}),
+      p AS (SELECT doc_id, sum(i)::INT AS indicators FROM (
+        {" UNION ALL ".join(f"SELECT doc_id, {indicator_sql(least)} AS i FROM (SELECT doc_id, n, {counted_sql(pattern)} AS c FROM w)" for _, _, least, pattern in PHRASES)}) GROUP BY doc_id),
+      m AS (SELECT *, CASE WHEN len(ls) > 0 THEN list_sum(ls) / len(ls) ELSE 0 END AS mean FROM w JOIN p USING (doc_id)),
+      s AS (SELECT *, CASE WHEN len(ls) < 2 OR mean = 0 THEN 0 ELSE sqrt(list_sum(list_transform(ls, lambda x: (x - mean) * (x - mean))) / (len(ls) - 1)) / mean END AS burst,
+        CASE WHEN n > 0 THEN len(regexp_extract_all(t, '[—–]')) * 1000 / n ELSE 0 END AS dashes FROM m),
+      q AS (SELECT *, indicators + (burst > 0 AND burst < 0.35)::INT + (dashes > 4)::INT AS present FROM s)
+      SELECT doc_id, indicators, CASE WHEN n < 120 THEN 'too-short' WHEN present >= 6 THEN 'many' WHEN present >= 2 THEN 'several' ELSE 'few' END AS band FROM q""",
+)
 def style_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = measure.with_style(docs(spark, sf_dir), F.col("t"))
     return s.select("doc_id", "band", F.size("indicators").alias("indicators"))
@@ -438,18 +461,100 @@ def svg_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "f.label", "f.value")
 
 
-@register("inspect_documents")
+#: What every text with an insertion gives away: (remainder, kind, confidence, location, label, value), in the order of a report.
+HIDDEN_KIND, FILE, DERIVED = chars.KIND, "file contents", "derived from file contents"
+INSPECTED = [
+    *((0, kind, level, f"mail header:{place}", label, value) for kind, level, place, label, value in (
+        ("identity", "confirmed", "from", "Sender", "A <a@example.org>"), ("provenance", "confirmed", "x-mailer", "Mail client", "Mailer 1"),
+        ("identity", "probable", "received", "Relay hop", "one"), ("identity", "probable", "received", "Relay hop 2", "two folded"),
+        ("identity", "probable", "message-id", "Message identifier", "<1@host>"),
+        ("provenance", "probable", "x-custom-run", "Non-standard header: x-custom-run", "42"),
+    )),
+    (1, HIDDEN_KIND, "confirmed", "U+200B", "zero-width space", "2 occurrences"),
+    *((2, HIDDEN_KIND, "informational", f"U+{ord(c):04X}", EXOTIC_SPACES[ord(c)], "1 occurrence") for c in AFTER[2] if ord(c) in EXOTIC_SPACES),
+    (3, HIDDEN_KIND, "probable", "hyphen lookalikes", "Dashes that are not the ASCII hyphen",
+        'U+2010 HYPHEN ×2, U+2212 MINUS SIGN ×1 — indistinguishable from "-" on screen'),
+    (7, HIDDEN_KIND, "probable", "control characters", "Control characters in the text",
+        "BEL ×2, ESC ×1 — invisible, and one bit per position. ESC is also how a coloured terminal log is written"),
+    (8, HIDDEN_KIND, "probable", "mixed-script words", "Letters that look alike but are not", "раyраl, аpple — one word mixing Latin and Cyrillic"),
+    (9, HIDDEN_KIND, "probable", "mixed-width words", "Fullwidth letters among ASCII ones", "ＡBC"),
+    (10, "identity", "confirmed", FILE, "Credential left in file: OpenAI-style API key", "sk-… (35 characters) — rotate this key"),
+    (10, "identity", "confirmed", FILE, "Credential left in file: GitHub token", "ghp_… (40 characters) — rotate this key"),
+    *((11, "provenance", level, FILE, "How the file says it was made", f"{term} — {told}") for term in ("trainedAlgorithmicMedia", "digitalArt")
+        for t, told, _, level in SOURCE_TYPES if t == term),
+    (12, "environment", "confirmed", DERIVED, "Linux account", "ann"),
+    (12, "environment", "confirmed", DERIVED, "Temporary directory", "/tmp/run1"),
+    (12, "environment", "confirmed", DERIVED, "Session identifier", "session_abcdef9"),
+    (13, HIDDEN_KIND, "confirmed", "bidirectional controls", "Text reordering controls",
+        "2 controls that can make text display differently from how it is stored (CVE-2021-42574)"),
+    (13, HIDDEN_KIND, "confirmed", "U+202E", "bidirectional override", "1 occurrence"),
+    (13, HIDDEN_KIND, "confirmed", "U+2066", "bidirectional isolate", "1 occurrence"),
+    (15, "identity", "confirmed", FILE, "Credential left in file: AWS access key id", "AKIA… (20 characters) — rotate this key"),
+    (15, "provenance", "confirmed", FILE, "Anthropic message id", "msg_" + "z" * 24),
+    (15, "provenance", "confirmed", FILE, "LLM provider endpoint", "api.openai.com/v1"),
+    (15, "environment", "confirmed", DERIVED, "Anthropic message id", "msg_" + "z" * 24),
+    (15, "provenance", "confirmed", DERIVED, "Assistant or agent named in metadata", "ChatGPT / OpenAI"),
+]
+FIELDS = ("kind", "confidence", "location", "label", "value")
+
+
+def rows_sql(rows: list[tuple], key: str = "k") -> str:
+    """A table of (key, ord, conf_rank, structural and FIELDS) of constant findings, numbered by key."""
+    out = []
+    for at, (k, *row) in enumerate(rows):
+        nth = sum(r[0] == k for r in rows[:at])
+        cells = [f"'{key}': {k}", f"'ord': {nth}::INT", f"'conf_rank': {findings.RANKS[row[1]]}::INT", "'structural': false"]
+        out.append("{" + ", ".join([*cells, *(f"'{f}': {quoted(v)}" for f, v in zip(FIELDS, row, strict=True))]) + "}")
+    return f"(SELECT unnest([{', '.join(out)}], recursive := true))"
+
+
+WHITE_SQL = f"""SELECT doc_id, len(string_split(t, chr(10))) AS lines, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[ \t]+\r?$'))) AS blanks,
+    {sql_count('t', f'[.!?] {{2,}}[^{JS_SPACE}]')} AS doubled, {sql_count('t', f'[.!?] [^{JS_SPACE}]')} AS single, {sql_count('t', '\r\n')} AS crlf FROM {DOCS_SQL}"""
+WHITE_ROWS = [
+    ("blanks >= 3", "CASE WHEN blanks >= lines / 4 THEN 'probable' ELSE 'informational' END", "line endings", "Trailing whitespace",
+        f"blanks || ' of ' || lines || {quoted(' lines end in spaces or tabs — invisible in an editor, and one bit per line')}"),
+    ("doubled > 0 AND single > 0", "'probable'", "sentence spacing", "Spacing after full stops is inconsistent",
+        f"doubled || ' sentences followed by two or more spaces, ' || single || {quoted(' by one — one bit per sentence')}"),
+    ("crlf > 0 AND lines - 1 > crlf", "'probable'", "line endings", "Line endings are mixed",
+        f"crlf || ' CRLF and ' || (lines - 1 - crlf) || "
+        f"{quoted(' LF in one file — one bit per line. Note that pasting into a browser normalises these away, so this only shows on a file')}"),
+]
+
+
+@register(
+    "inspect_documents",
+    f"""WITH r AS {rows_sql(INSPECTED)}, w AS ({WHITE_SQL}), f AS (
+        {" UNION ALL ".join(f"SELECT doc_id, {level} AS confidence, '{place}' AS location, {quoted(label)} AS label, {value} AS value FROM w WHERE {when}" for when, level, place, label, value in WHITE_ROWS)})
+      SELECT doc_id, ord, kind, confidence, location, label, value, conf_rank, structural FROM documents JOIN r ON doc_id % {EVERY} = k
+      UNION ALL SELECT doc_id, 0::INT, {quoted(HIDDEN_KIND)}, confidence, location, label, value, CASE confidence WHEN 'probable' THEN 1 ELSE 2 END::INT, false FROM f""",
+)
 def inspect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of every document, conversation-style texts and markup alike."""
     return textpipe.findings(docs(spark, sf_dir), "doc_id", text_col="t")
 
 
-@register("inspect_pages")
+PAGE_ROWS = [
+    (0, "provenance", "confirmed", '<meta name="generator">', "Generator meta tag", "Pages 1.0"),
+    (1, "identity", "confirmed", '<meta name="author">', "Author meta tag", "Ann"),
+    (2, "provenance", "confirmed", "comment", "Generator comment", "Generated by Tool 2"),
+    (3, "provenance", "confirmed", "data-ai* attributes", "AI provenance data attributes", '2 attributes — data-ai-model="m1" data-ai="x"'),
+    (4, "timestamp", "probable", '<meta name="date">', "Date meta tag", "2020-01-02"),
+]
+
+
+@register(
+    "inspect_pages",
+    f"SELECT page_id, ord, kind, confidence, location, label, value, conf_rank, structural FROM pages JOIN {rows_sql(PAGE_ROWS)} r ON page_id % 6 = k",
+)
 def inspect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textpipe.findings(pages(spark, sf_dir), "page_id", text_col="h")
 
 
-@register("inspect_conversations")
+@register(
+    "inspect_conversations",
+    f"""WITH r AS {rows_sql([(k, *row) for k, of in ((1, 1), (2, 10), (3, 12)) for n, *row in INSPECTED if n == of])}
+      SELECT role, kind, label, count(*)::BIGINT AS findings FROM conversations JOIN r ON conv_id % 5 = k GROUP BY ALL""",
+)
 def inspect_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, _ = inserted("conv_id", 5, {}, {1: AFTER[1], 2: AFTER[10], 3: AFTER[12]})
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text().alias("t"))
@@ -465,14 +570,44 @@ def document_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textpipe.tally(textpipe.inspect_text(docs(spark, sf_dir), "t"))
 
 
-@register("provenance")
+@register(
+    "provenance",
+    """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'markdown' ELSE 'text' END AS format, CASE WHEN doc_id % 4 = 1 THEN 'gpt-4o (OpenAI); LangChain' ELSE '' END AS tools,
+        doc_id % 4 IN (1, 2) AS attributed, doc_id % 4 = 2 AS declared, false AS machine_assembled,
+        CASE doc_id % 4 WHEN 1 THEN 'attributed' WHEN 2 THEN 'declared' ELSE 'none' END AS verdict FROM documents""",
+)
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     note, _ = inserted("doc_id", 4, {0: FRONT[0], 1: "---\ngenerator: gpt-4o via LangChain\n---\n"}, {2: AFTER[11]})
     rows = table(spark, sf_dir, "documents").select("doc_id", note().alias("t"))
-    return textpipe.summarize(rows, "doc_id", text_col="t")
+    return textpipe.summarize(rows, "doc_id", text_col="t").withColumn("tools", F.array_join("tools", "; "))
+
 
+#: What a cleaning takes out: remainders whose findings go, and labels of the header lines that go.
+CLEANED, DROPPED = (1, 2, 13), ("Mail client", "Non-standard header: x-custom-run")
 
-@register("redaction_survivors")
+
+@register(
+    "redaction_survivors",
+    f"""WITH r AS {rows_sql([x for x in INSPECTED if x[0] not in CLEANED and x[4] not in DROPPED])}, w AS ({WHITE_SQL}), f AS (
+        {" UNION ALL ".join(f"SELECT doc_id, {level} AS confidence, {quoted(label)} AS label FROM w WHERE {when}" for when, level, _, label, _ in WHITE_ROWS)}
+        UNION ALL SELECT doc_id, confidence, label FROM documents JOIN r ON doc_id % {EVERY} = k)
+      SELECT doc_id, string_agg(DISTINCT label, '; ' ORDER BY label) AS labels FROM f WHERE confidence <> 'informational' GROUP BY doc_id""",
+)
 def redaction_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = textpipe.redact_text(docs(spark, sf_dir), "t").select("doc_id", "cleaned")
     return textpipe.survivors(cleaned, "doc_id").withColumn("labels", F.array_join("labels", "; "))
+
+
+@register(
+    "redaction_notes",
+    f"""WITH r AS {rows_sql(INSPECTED)}, w AS ({WHITE_SQL}), f AS (
+        {" UNION ALL ".join(f"SELECT doc_id, true AS stays, {quoted(label)} AS label, {n} + 2 AS ord FROM w WHERE {when}" for n, (when, _, _, label, _) in enumerate(WHITE_ROWS))}
+        UNION ALL SELECT doc_id, location IN ({", ".join(quoted(p) for p in chars.KEPT_PLACES)}), label, ord FROM documents JOIN r ON doc_id % {EVERY} = k
+          WHERE kind = {quoted(HIDDEN_KIND)} AND confidence <> 'informational'),
+      g AS (SELECT doc_id, coalesce(string_agg(label, '; ' ORDER BY ord) FILTER (NOT stays), '') AS removed, coalesce(string_agg(label, '; ' ORDER BY ord) FILTER (stays), '') AS kept FROM f GROUP BY doc_id)
+      SELECT doc_id, CASE WHEN doc_id % {EVERY} = 0 THEN 'X-Mailer; X-Custom-Run' ELSE coalesce(removed, '') END AS removed, coalesce(kept, '') AS kept FROM documents LEFT JOIN g USING (doc_id)""",
+)
+def redaction_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of what a cleaning took out of each text, and of what it left as the text's own."""
+    redacted = textpipe.redact_text(docs(spark, sf_dir), "t")
+    return redacted.select("doc_id", F.array_join("removed", "; ").alias("removed"), F.array_join("kept", "; ").alias("kept"))

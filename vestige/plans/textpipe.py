@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import ARRANGEMENT, KIND, clean_text, decoded, normal_forms, scan_text
+from ..functions.chars import ARRANGEMENT, KEPT_PLACES, KIND, clean_text, decoded, normal_forms, scan_text
 from ..functions.content import find_source_types, fingerprint, provenance, scan_content, verdict
 from ..functions.findings import FINDING, by_confidence, exploded, finding, let
 from ..functions.mail import email_headers, strip_tool_headers
@@ -87,13 +87,34 @@ def summarize(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
 
 
 def redact_text(df: DataFrame, text_col: str = "text", hint: Column | None = None, normalize_spaces: bool = False, strip_headers: bool = True) -> DataFrame:
-    """df with format, cleaned, and removed: what was taken out of the text."""
+    """df with format, cleaned, removed and kept.
+
+    removed has the labels of the characters that were taken out and the names of the stripped header lines, kept the
+    labels of what is arranged or looks alike and stays, as it may be the text's own. Exotic spaces count as removed
+    where they are made plain.
+    """
     ship(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = df.withColumn("format", F.coalesce(detect_format(text, hint), F.lit("text")))
-    plain = clean_text(text, normalize_spaces)
-    plain = strip_tool_headers(plain)["text"] if strip_headers else plain
-    return marked.withColumn("cleaned", F.when(F.col("format") == "text", plain).otherwise(redact_markup(text, F.col("format"))))
+    rows = df.withColumn("format", F.coalesce(detect_format(text, hint), F.lit("text")))
+    plain, markup = F.col("format") == "text", F.col("format").isin("svg", "html")
+    body = F.when(markup, visible_text(text)).otherwise(text)
+    found = F.filter(scan_text(body), lambda f: F.lit(normalize_spaces) | (f["confidence"] != "informational") | f["location"].isin(KEPT_PLACES))
+    found = F.filter(found, lambda f: ~markup | ~f["location"].isin(ARRANGEMENT))
+    rows = rows.withColumn("_found", F.transform(found, lambda f: F.struct(f["label"].alias("label"), f["location"].isin(KEPT_PLACES).alias("stays"))))
+    headers = F.array().cast("array<string>")
+    cleaned = clean_text(text, normalize_spaces)
+    if strip_headers:
+        rows = rows.withColumn("_stripped", strip_tool_headers(cleaned))
+        cleaned, headers = F.col("_stripped.text"), F.when(plain, F.col("_stripped.removed")).otherwise(headers)
+    labels = lambda stays: F.array_distinct(F.transform(F.filter("_found", lambda f: f["stays"] == stays), lambda f: f["label"]))
+    rows = rows.withColumns(
+        {
+            "cleaned": F.when(plain, cleaned).otherwise(redact_markup(text, F.col("format"))),
+            "removed": F.concat(labels(False), headers),
+            "kept": labels(True),
+        }
+    )
+    return rows.drop("_found", "_stripped")
 
 
 def survivors(df: DataFrame, *keys: str, cleaned_col: str = "cleaned") -> DataFrame:
