@@ -68,9 +68,10 @@ def test_redaction_leaves_nothing_removable(spark):
 
 def test_style_of_plain_prose_is_few(spark):
     text = "I walked home. It rained, and the long road by the river was empty but for two dogs and a man with a cart. Fine. " * 8
-    s = one(spark, text, measure.style(F.col("t")))
+    style = lambda t: measure.with_style(spark.createDataFrame([(t,)], "t string"), F.col("t")).first()
+    s = style(text)
     assert s.band == "few" and s.sentences > 20 and s.indicators == []
-    assert one(spark, "", measure.style(F.col("t"))).band == "too-short"
+    assert style("").band == "too-short"
 
 
 @pytest.mark.parametrize(("pattern", "text", "hit"), [(r"\bclé\b", "la clé est", True), (r"\bou\b", "éou b", True), (r"(?i)\bcursor\b", "precursor", False)])
@@ -92,3 +93,55 @@ def test_svg_findings_reads_every_row(spark, tmp_path):
     spark.createDataFrame([(k, own if k in (4, 9) else "plain") for k in range(10)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = [(r.doc_id, r.value) for r in QUERIES["svg_findings"](spark, str(tmp_path)).collect()]
     assert {(4, "own"), (9, "own")} <= set(found) and not {2, 3, 7, 8} & {i for i, _ in found}
+
+
+def test_every_match_has_a_needle(spark):
+    """The plain search before a pattern lets every text through that the pattern matches."""
+    from vestige.functions.patterns import CONTENT, PHRASES, java, needles
+
+    assert needles(r"\b(?:rich\s+)?tapestry\b") == ["tapestry"] and needles(r"it'?s\b[^.!?]{0,5}\bmen+d") == ["men"]
+    assert needles(r"[a-z]+") == [] and needles(r"ab|[0-9]") == []
+    said = [
+        "il est important, convient de noter", "En Résumé", "DÉCOUVRONS", "N'hésitez pas à x", "voici un aperçu", "non seulement a mais également b", "dans un monde numérique",
+        "témoignage de", "joue un rôle clé .", "holistiques", "que ce soit a ou b", "Delve  into", "tapestry", "a testament to", "its worth noting", "navigating the landscapes",
+        "in todays digital", "robust", "fostering", "not just a, its b", "this isnt a, it's b", "quietly", "to sum up", "lets dive in", "feel free to", "SE\u017fAMLE\u017f\u017f seamle\u017f\u017f",
+    ]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    plain = F.array(*(F.regexp_count("t", F.lit("(?iu)" + java(p))).cast("long") for *_, p in PHRASES))
+    for r in rows.select("t", plain.alias("plain"), measure.phrase_counts(F.col("t")).alias("found")).collect():
+        assert [x["count"] for x in r.found] == r.plain and sum(r.plain) > 0, r.t
+    assert all(needles(p) for _, _, p, _ in CONTENT)
+
+
+def test_uncommon_characters_reach_the_exact_pattern(spark):
+    """No invisible character or exotic space is among those that the fast test passes by."""
+    import regex
+
+    from vestige.functions.patterns import COMMON, EXOTIC_SPACES, beyond
+
+    rows = spark.range(0, 0xD800).select(F.col("id"), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    passed = {r.id for r in rows.where(~F.col("c").rlike(beyond(COMMON))).collect()}
+    hidden = regex.compile(r"\p{Cf}")
+    assert 0x41 in passed and not any(hidden.match(chr(x)) for x in passed if not 0x600 <= x <= 0x605)
+    assert not passed & {*EXOTIC_SPACES, 0xAD, 0x34F, 0x200B, 0x200D, 0x2800, 0x3164, 0xFE0F}
+
+
+def test_redaction_tells_what_went_and_what_stayed(spark):
+    from vestige.plans import textpipe
+
+    rows = [(1, "a\u200bb \u2010 c\u00a0d"), (2, None), (3, "From: a\nTo: b\nDate: c\nX-Mailer: m\n\nbody"), (4, "<html><p>x\u200by</p>\r\n<p>z\n")]
+    df = textpipe.redact_text(spark.createDataFrame(rows, "id long, text string"))
+    found = {r.id: (r.cleaned, r.removed, r.kept) for r in df.collect()}
+    assert found[1] == ("ab \u2010 c\u00a0d", ["zero-width space"], ["Dashes that are not the ASCII hyphen"])
+    assert found[2] == ("", [], []) and found[3] == ("From: a\nTo: b\nDate: c\n\nbody", ["X-Mailer"], [])
+    assert found[4][1:] == (["zero-width space"], []) and "\u200b" not in found[4][0]
+
+
+def test_a_stream_gives_the_findings_of_new_files_once(spark, tmp_path):
+    from vestige.streaming.inspect import inspect_stream
+
+    source, sink, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    for n, text in enumerate(["a\u200bb", "plain", "/home/ann/x"]):
+        spark.createDataFrame([(n, text)], "id long, text string").write.mode("append").parquet(source)
+        inspect_stream(spark, source, "id long, text string", ("id",), sink, marks).awaitTermination()
+    assert sorted((r.id, r.label) for r in spark.read.parquet(sink).collect()) == [(0, "zero-width space"), (2, "Linux account")]
