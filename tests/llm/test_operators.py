@@ -109,6 +109,35 @@ def test_ball_hashing_loses_no_link(spark):
     assert sorted(Counter(labels.get(signed[int(x)], signed[int(x)]) for x in fps).values()) == sorted(groups.values())
 
 
+@pytest.mark.parametrize("kind", ["path", "hub", "random", "stars", "none"])
+def test_components_equal_union_find(spark, kind):
+    rng = np.random.default_rng(3)
+    if kind == "path":
+        nodes = rng.permutation(300)
+        edges = list(zip(nodes[:-1], nodes[1:], strict=True))
+    elif kind == "hub":
+        edges = [(500, x) for x in range(400)] + [(x, x + 1000) for x in range(400)]
+    elif kind == "random":
+        edges = [tuple(e) for e in rng.integers(-400, 400, (500, 2))] + [(7, 7), (1, 2), (2, 1), (1, 2)]
+    else:
+        edges = [(x, x % 5) for x in range(5, 100)] if kind == "stars" else []
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted([root(int(a)), root(int(b))])
+            parent[high] = low
+    table = spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long").repartition(16)
+    rows = components(table).collect()
+    assert len(rows) == len({r.node for r in rows})
+    assert {r.node: r.component for r in rows} == {x: root(x) for x in [*parent]}
+
+
 def test_packing_is_gapless_and_whole(docs, empty):
     from tokenizers import Tokenizer
 

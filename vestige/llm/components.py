@@ -2,8 +2,8 @@
 
 Every round replaces the edges by a contraction: tasks first merge what they hold by union-find in
 bounded pieces, then two star rounds link every node to the least node near it (large and small
-star). The rounds end when no edge changed; each is written to the shared folder, so a lost
-executor costs one round at most.
+star). The rounds end when the edges are stars around least nodes; each is written to the shared
+folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _written, delete, written
@@ -70,6 +70,20 @@ def with_least(edges: DataFrame) -> DataFrame:
     return dealt.join(least, ["a", "part"]).select("a", "b", "m")
 
 
+def two(first: tuple[str, str], second: tuple[str, str]) -> Column:
+    """Two edges (a, b) from each row, from these columns; the row's plan runs once for both."""
+    return F.inline(F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (first, second))))
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b), a > b, are stars: no a has two edges, and no b is an a."""
+    upper = F.struct(F.col("a").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    lower = F.struct(F.col("b").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below"))
+    ends = edges.select(F.inline(F.array(upper, lower)))
+    nodes = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return nodes.where("above > 1 or above = 1 and below = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a long, b long); component is its least node.
 
@@ -80,18 +94,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(now.distinct(), "components")
     path = _written[-1]
     for _ in range(ROUNDS):
+        if settled(now):
+            break
         # large star: every neighbour above a node is linked to the node's least neighbour
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(two(("a", "b"), ("b", "a")))
         large = with_least(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         # small star: a node and its neighbours below it are linked to the least of them
         below = with_least(large.where(F.col("a") > F.col("b")))
-        small = below.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(below.select("a", F.col("m").alias("b")))
-        new = written(small.where(F.col("a") != F.col("b")).mapInArrow(_merge, schema).distinct(), "components")
-        if new.count() == now.count() and new.exceptAll(now).isEmpty():
-            delete(edges.sparkSession, _written[-1])  # the same edges as now
-            break
+        small = below.select(two(("b", "m"), ("a", "m"))).where(F.col("a") != F.col("b"))
+        now = written(small.mapInArrow(_merge, schema).distinct(), "components")
         delete(edges.sparkSession, path)
-        now, path = new, _written[-1]
+        path = _written[-1]
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     # settled edges are stars around the least nodes
