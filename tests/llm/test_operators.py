@@ -109,8 +109,9 @@ def test_ball_hashing_loses_no_link(spark):
     assert sorted(Counter(labels.get(signed[int(x)], signed[int(x)]) for x in fps).values()) == sorted(groups.values())
 
 
+@pytest.mark.parametrize("piece", [500_000, 40])
 @pytest.mark.parametrize("kind", ["path", "hub", "random", "stars", "none"])
-def test_components_equal_union_find(spark, kind):
+def test_components_equal_union_find(spark, kind, piece):
     rng = np.random.default_rng(3)
     if kind == "path":
         nodes = rng.permutation(300)
@@ -133,7 +134,7 @@ def test_components_equal_union_find(spark, kind):
             low, high = sorted([root(int(a)), root(int(b))])
             parent[high] = low
     table = spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long").repartition(16)
-    rows = components(table).collect()
+    rows = components(table, piece).collect()
     assert len(rows) == len({r.node for r in rows})
     assert {r.node: r.component for r in rows} == {x: root(x) for x in [*parent]}
 

@@ -1,13 +1,14 @@
 """Connected components of an edge table, without collecting edges or labels anywhere.
 
-Every round replaces the edges by a contraction: tasks first merge what they hold by union-find in
-bounded pieces, then two star rounds link every node to the least node near it (large and small
-star). The rounds end when the edges are stars around least nodes; each is written to the shared
-folder, so a lost executor costs one round at most.
+Every round replaces the edges by a contraction: tasks merge by union-find what they hold, in pieces
+of a bounded number of edges and in as many tasks as that takes, then two star steps link every node
+to the least node near it (large and small star). The rounds end when the edges are stars around
+least nodes; each is written to the shared folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,22 +41,27 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
+def _merge(piece: int):
+    """Stars for the edges of a task, each made of at least piece edges and less than a batch more, or of what is left."""
 
-    def flush() -> pa.RecordBatch:
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         node, root = roots(rows.column("a").to_numpy(), rows.column("b").to_numpy())
         keep = node != root
         return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["a", "b"])
 
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= PIECE:
-            yield flush()
-            held = []
-    if held:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= piece:
+                yield flush(held)
+                held, rows = [], 0
+        if held:
+            yield flush(held)
+
+    return run
 
 
 def with_least(edges: DataFrame) -> DataFrame:
@@ -84,16 +90,25 @@ def settled(edges: DataFrame) -> bool:
     return nodes.where("above > 1 or above = 1 and below = 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame, piece: int) -> DataFrame:
+    """Stars for edges read from a table: one task for each piece of them, so that the last pieces meet in one."""
+    tasks = math.ceil(edges.count() / piece) or 1
+    return edges.coalesce(tasks).mapInArrow(_merge(piece), "a long, b long").distinct()
+
+
+def components(edges: DataFrame, piece: int = PIECE) -> DataFrame:
     """(node, component) for every node of the edges (a long, b long); component is its least node.
 
-    An empty edge table gives no rows; self links and repeated edges change nothing.
+    A task merges piece edges at once; the result doesn't depend on it. An empty edge table gives no
+    rows; self links and repeated edges change nothing.
     """
-    schema = "a long, b long"  # from here on a > b
-    now = edges.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_merge, schema)
-    now = written(now.distinct(), "components")
-    path = _written[-1]
+    spark = edges.sparkSession
+    ends = edges.select("a", "b").where(F.col("a") != F.col("b"))
+    now = written(ends.mapInArrow(_merge(piece), "a long, b long").distinct(), "components")  # from here on a > b
     for _ in range(ROUNDS):
+        path = _written[-1]
+        now = written(contracted(now, piece), "components")
+        delete(spark, path)
         if settled(now):
             break
         # large star: every neighbour above a node is linked to the node's least neighbour
@@ -102,9 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below it are linked to the least of them
         below = with_least(large.where(F.col("a") > F.col("b")))
         small = below.select(two(("b", "m"), ("a", "m"))).where(F.col("a") != F.col("b"))
-        now = written(small.mapInArrow(_merge, schema).distinct(), "components")
-        delete(edges.sparkSession, path)
         path = _written[-1]
+        now = written(small.distinct(), "components")
+        delete(spark, path)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     # settled edges are stars around the least nodes
