@@ -415,6 +415,28 @@ def test_html_groups_of_a_hot_host(spark):
         assert found == {k: " ".join([f"own{k}"] * 50) for k in range(300)}
 
 
+def test_html_results_do_not_depend_on_groups(spark):
+    """Shares of a host's distinct pages decide, wherever its pages and copies of them are dealt to."""
+    phrase = lambda name: " ".join(f"{name}{j}" for j in range(12))
+    heads = [phrase(h) for h, n in (("goes", 30), ("stays", 29), ("most", 41)) for _ in range(n)]
+    rows = [(k, "http://a.x/", f"<body><div>{h}</div><div>{f'own{k} ' * 20}</div></body>") for k, h in enumerate(heads)]
+    rows += [(1000 + k, "http://a.x/", rows[40][2]) for k in range(150)]
+    for at, host, n in ((2000, "b", 80), (3000, "c", 79)):
+        pages = [f"<article><p>{f'own{k} ' * 20}<p>{phrase('letter') if k < n else f'end{k}'}</article>" for k in range(100)]
+        rows += [(at + k, f"http://{host}.x/", page) for k, page in enumerate(pages)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = {}
+    for k, h in enumerate(heads):
+        want[k] = (h + "\n\n" if h.startswith("stays") else "") + " ".join([f"own{k}"] * 20)
+    want |= {1000 + k: want[40] for k in range(150)}
+    for at, n in ((2000, 0), (3000, 79)):
+        for k in range(100):
+            end = phrase("letter") if k < n else "" if at == 2000 and k < 80 else f"end{k}"
+            want[at + k] = " ".join([f"own{k}"] * 20) + ("\n\n" + end if end else "")
+    for size in (1 << 20, 1_500):
+        assert {r.page_id: r.text for r in html.extract(pages, group_bytes=size).collect()} == want
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

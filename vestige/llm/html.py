@@ -5,17 +5,21 @@ sidebars, notices, adverts and reader comments go by their elements, roles and n
 article only names that can't mean its text count. Blocks inside an article (else a main) element
 are the page's own; what is left of a page without such an element is open.
 
-The pages of a host are dealt by hash into groups of ``GROUP_BYTES`` or so, and the token streams of
-a group's pages, all their blocks, are concatenated, each with an end of its own. The suffix array
-of that is sorted by prefix doubling, to a depth of ``DEPTH`` tokens. Neighbours that agree in
+A host's token streams, all blocks of each page, are concatenated, each with an end of its own. The suffix
+array of that is sorted by prefix doubling, to a depth of ``DEPTH`` tokens. Neighbours that agree in
 ``RUN`` tokens or more are a substring of the host; one that is on a share of ``SHARE`` of the
-group's distinct pages, three at least, is boilerplate for open blocks: the tokens that it covers go,
+host's distinct pages, three at least, is boilerplate for open blocks: the tokens that it covers go,
 and the unique runs between stay, however short. Under RUN tokens at a block's edge, where a substring
 only reaches over from the next block, stay as well. A page's own blocks are text even where some pages
 share them; only those go that a substring on ``OWN_SHARE`` of ten distinct pages or more covers
 whole, at the beginning or the end of the article. A page that would lose over three quarters of its
-tokens so is a near copy of others, and loses none. Boilerplate is by its definition on a share of a host's
-pages, so a group dealt at random shows it; and no group grows with the host.
+tokens so is a near copy of others, and loses none.
+
+A host of more than ``GROUP_BYTES`` gives the same, by an array for each group of its pages. Of the groups that
+have a page's stream one counts it, so counts add up. Substrings on half of SHARE of a group's pages are reported; any other is on less than
+that of each group, so sums of reports bound each count. Where the bounds leave a verdict open, the groups count those substrings by
+name. A name is 64 bits of hash of RUN tokens. Verdicts then go to every group. Per host no more is open than some 7 pages
+have of tokens, so no group and no verdict grows with the host.
 
 Defined results: null and empty pages give an empty text; a null url is a host of its own name;
 repeated rows give equal results and count as one page, as do pages of equal tokens; other columns
@@ -33,10 +37,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, written
 
 #: Tokens of a substring that counts, tokens that suffixes are sorted by, share of pages and pages of boilerplate.
 RUN, DEPTH, SHARE, LEAST_PAGES = 8, 64, 0.3, 3
@@ -260,34 +265,68 @@ def suffix_array(tokens: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np
     return order, np.concatenate([[0], np.where(whole, depth, shared)])
 
 
+@dataclass
+class Streams:
+    """The streams of pages as one line of tokens, each with an end of its own; page numbers distinct ones."""
+
+    tokens: np.ndarray
+    lengths: np.ndarray
+    page: np.ndarray
+    pages: int
+    words: list[str]
+
+    @classmethod
+    def of(cls, streams: list[list[str]]) -> Streams:
+        number: dict[str, int] = {}
+        seen: dict[tuple[int, ...], int] = {}
+        lines = [[number.setdefault(w, len(number)) for w in words] for words in streams]
+        pages = [seen.setdefault(tuple(line), len(seen)) for line in lines]
+        lengths = np.asarray([len(x) for x in lines], dtype=np.int64)
+        tokens = np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray([*line, len(number) + k], dtype=np.int64) for k, line in enumerate(lines))])
+        return cls(tokens, lengths, np.repeat(np.asarray(pages, dtype=np.int64), lengths + 1), len(seen), [*number])
+
+    def spread(self, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes in order, and on how many distinct pages the first run tokens of each are."""
+        order, shared = suffix_array(self.tokens)
+        group = np.cumsum(shared < run)  # suffixes that agree in run tokens
+        pairs = np.unique(group * self.pages + self.page[order])
+        return order, np.bincount(pairs // self.pages, minlength=group[-1] + 1)[group]
+
+    def names(self, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places where run tokens of one page begin, and a hash of these tokens, the same in every group."""
+        last = np.repeat(np.cumsum(self.lengths + 1), self.lengths + 1) - 1
+        at = np.flatnonzero(np.arange(len(self.tokens)) + run <= last)
+        known = np.asarray([xxhash.xxh3_64_intdigest(w) for w in self.words], dtype=np.uint64)
+        hashes, out = known[self.tokens[self.tokens < len(known)]], np.zeros(len(at), dtype=np.uint64)
+        first = at - np.repeat(np.arange(len(self.lengths)), self.lengths + 1)[at]  # as ends have no hash
+        for k in range(run):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[first + k]
+        return at, out.view(np.int64)
+
+    def covered(self, level: np.ndarray, run: int) -> list[np.ndarray]:
+        """Of each token of each stream the highest level of the runs that cover it, from the levels where runs begin."""
+        out = np.zeros(len(self.tokens), dtype=np.int8)
+        for least in (1, 2):
+            at = np.flatnonzero(level >= least)
+            steps = np.zeros(len(self.tokens) + 1, dtype=np.int64)
+            steps[at] += 1
+            steps[at + run] -= 1
+            out += np.cumsum(steps)[:-1] > 0
+        ends = np.cumsum(self.lengths + 1)
+        return [out[e - n - 1 : e - 1] for e, n in zip(ends.tolist(), self.lengths.tolist(), strict=True)]
+
+
 def boilerplate(streams: list[list[str]], run: int = RUN, share: float = SHARE) -> list[np.ndarray]:
     """Of each token of the streams of a host's pages, 1 if a substring covers it that is boilerplate in open blocks, 2 if in own ones too."""
-    number: dict[str, int] = {}
-    lengths = np.asarray([len(x) for x in streams], dtype=np.int64)
-    seen: dict[tuple[int, ...], int] = {}
-    lines, pages = [], []
-    for words in streams:
-        line = [number.setdefault(w, len(number)) for w in words]
-        lines.append(line)
-        pages.append(seen.setdefault(tuple(line), len(seen)))
-    if len(seen) < LEAST_PAGES:
-        return [np.zeros(n, dtype=np.int8) for n in lengths]
-    tokens = np.concatenate([np.asarray([*line, len(number) + k], dtype=np.int64) for k, line in enumerate(lines)])
-    page = np.repeat(np.asarray(pages, dtype=np.int64), lengths + 1)
-    order, shared = suffix_array(tokens)
-    group = np.cumsum(shared < run)  # suffixes that agree in run tokens
-    pairs = np.unique(group * len(seen) + page[order])
-    spread = np.bincount(pairs // len(seen), minlength=group[-1] + 1)[group]
-    out = np.zeros(len(tokens), dtype=np.int8)
-    for least in (max(LEAST_PAGES, share * len(seen)), max(OWN_PAGES, OWN_SHARE * len(seen))):
-        at = order[spread >= least]
-        at = at[at + run <= len(tokens)]
-        covered = np.zeros(len(tokens) + 1, dtype=np.int64)
-        covered[at] += 1
-        covered[at + run] -= 1
-        out += np.cumsum(covered)[:-1] > 0
-    ends = np.cumsum(lengths + 1)
-    return [out[e - n - 1 : e - 1] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    whole = Streams.of(streams)
+    if whole.pages < LEAST_PAGES:
+        return [np.zeros(n, dtype=np.int8) for n in whole.lengths]
+    order, spread = whole.spread(run)
+    level = np.zeros(len(whole.tokens), dtype=np.int8)
+    for least in (max(LEAST_PAGES, share * whole.pages), max(OWN_PAGES, OWN_SHARE * whole.pages)):
+        level[order] += spread >= least
+    level[max(0, len(level) - run + 1) :] = 0
+    return whole.covered(level, run)
 
 
 def left(words: list[str], marks: np.ndarray, run: int) -> list[str]:
@@ -354,6 +393,135 @@ def _extract(run_length: int, share: float):
     return run
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as their blocks, a line each, and the blocks' kinds."""
+    for batch in batches:
+        parsed = [parse(p) for p in batch.column("html").to_pylist()]
+        lines = pa.array(["\n".join(b.text for b in blocks) for blocks in parsed], pa.string())
+        kinds = pa.array([bytes(b.kind for b in blocks) for blocks in parsed], pa.binary())
+        columns = [*(batch.column(c) for c in ("page_id", "url", "host", "group")), lines, kinds]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "group", "lines", "kinds"])
+
+
+def stream_key(lines: str) -> bytes:
+    return xxhash.xxh3_128_digest(lines.replace("\n", " "))
+
+
+def stream(lines: str) -> list[str]:
+    return lines.replace("\n", " ").split(" ") if lines else []
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array(map(stream_key, batch.column("lines").to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("group"), keys], names=["host", "group", "key"])
+
+
+def counted_streams(rows: pa.Table, side: pa.Table) -> Streams:
+    """The streams that a group counts, each once."""
+    counts = set(side.column("keys")[0].as_py())
+    lines = {key: x for x in rows.column("lines").to_pylist() if (key := stream_key(x)) in counts}
+    return Streams.of([*map(stream, lines.values())])
+
+
+COUNTED = "host string, name long, n long, pages long"
+
+
+def counted(host: pa.Scalar, names: np.ndarray, n: np.ndarray, pages: int) -> pa.Table:
+    columns = [pa.array([host.as_py()] * len(names), pa.string()), pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array([pages] * len(names), pa.int64())]
+    return pa.table(columns, names=["host", "name", "n", "pages"])
+
+
+def _report(run: int, share: float):
+    """Substrings on half of a share of the pages that a group counts."""
+
+    def of(key: tuple, rows: pa.Table, side: pa.Table) -> pa.Table:
+        none = np.zeros(0, dtype=np.int64)
+        if not side.num_rows:
+            return counted(key[0], none, none, 0)
+        whole = counted_streams(rows, side)
+        order, spread = whole.spread(run)
+        on = np.zeros(len(whole.tokens), dtype=np.int64)
+        on[order] = spread
+        at, names = whole.names(run)
+        often = on[at] >= share / 2 * whole.pages
+        names, first = np.unique(names[often], return_index=True)
+        return counted(key[0], names, on[at][often][first], whole.pages)
+
+    return of
+
+
+def _count(run: int):
+    """On how many of the pages that a group counts each of the substrings asked for is."""
+
+    def of(key: tuple, rows: pa.Table, side: pa.Table) -> pa.Table:
+        none = np.zeros(0, dtype=np.int64)
+        if not side.num_rows:
+            return counted(key[0], none, none, 0)
+        whole = counted_streams(rows, side)
+        at, names = whole.names(run)
+        asked = np.isin(names, side.column("names").combine_chunks().flatten().to_numpy())
+        found = np.unique(np.stack([names[asked], whole.page[at[asked]]]), axis=1)[0]
+        return counted(key[0], *np.unique(found, return_counts=True), whole.pages)
+
+    return of
+
+
+def _decide(run: int):
+    """Texts of a group's pages by the levels of its host's substrings."""
+
+    def of(key: tuple, rows: pa.Table, side: pa.Table) -> pa.Table:
+        lines = rows.column("lines").to_pylist()
+        whole = Streams.of([*map(stream, lines)])
+        level = np.zeros(len(whole.tokens), dtype=np.int8)
+        if side.num_rows:
+            known, levels = (side.column(c).combine_chunks().flatten().to_numpy() for c in ("names", "levels"))
+            order = np.argsort(known)
+            known, levels = known[order], levels[order]
+            at, names = whole.names(run)
+            where = np.minimum(np.searchsorted(known, names), len(known) - 1)
+            level[at] = np.where(known[where] == names, levels[where], 0)
+        parsed = [[Block(t, k) for t, k in zip(x.split("\n"), kinds, strict=False)] for x, kinds in zip(lines, rows.column("kinds").to_pylist(), strict=True)]
+        texts = [main_text(blocks, m, run) for blocks, m in zip(parsed, whole.covered(level, run), strict=True)]
+        return pa.table([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return of
+
+
+def _large(pages: DataFrame, large: DataFrame, parts: int, run: int, share: float) -> DataFrame:
+    """(page_id, url, text) of the pages (page_id, url, html, host, group) of large hosts (host, groups).
+
+    All steps read one exchange of the parsed pages.
+    """
+    kinds = dict(pages.dtypes)
+    parsed = pages.mapInArrow(_read, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, group int, lines string, kinds binary")
+    parsed = parsed.repartition(parts, "host", "group")
+
+    def by_group(side: DataFrame, function, schema: str) -> DataFrame:
+        side = side.repartition(parts, "host", "group")
+        return parsed.groupBy("host", "group").cogroup(side.groupBy("host", "group")).applyInArrow(function, schema)
+
+    def level(n):
+        of = lambda least, part: (n >= F.greatest(F.lit(float(least)), part * F.col("distinct"))).cast("int")
+        return of(LEAST_PAGES, F.lit(share)) + of(OWN_PAGES, F.lit(OWN_SHARE))
+
+    keys = parsed.mapInArrow(_keys, "host string, group int, key binary").groupBy("host", "key").agg(F.min("group").alias("group"))
+    counts = keys.groupBy("host", "group").agg(F.collect_list("key").alias("keys"), F.count("*").alias("own"))
+    hosts = counts.groupBy("host").agg(F.sum("own").alias("distinct"))
+    sums = by_group(counts, _report(run, share), COUNTED).groupBy("host", "name").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    # what isn't reported is on less than half of the share of a group's pages
+    most = F.col("n") + F.lit(share / 2) * (F.col("distinct") - F.col("pages"))
+    sums = sums.join(hosts, "host").select("host", "name", "distinct", level(F.col("n")).alias("level"), level(most).alias("most"))
+    asked = sums.where("level < most").groupBy("host").agg(F.collect_list("name").alias("names"))
+    exact = by_group(counts.join(asked, "host"), _count(run), COUNTED).groupBy("host", "name").agg(F.sum("n").alias("n"))
+    exact = exact.join(hosts, "host").select("host", "name", level(F.col("n")).alias("level"))
+    verdicts = sums.where("level = most").select("host", "name", "level").unionByName(exact).where("level > 0")
+    verdicts = verdicts.groupBy("host").agg(F.collect_list(F.struct("name", "level")).alias("both"))
+    verdicts = verdicts.select("host", F.col("both.name").alias("names"), F.col("both.level").alias("levels"))
+    every = large.select("host", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("group"))
+    return by_group(every.join(verdicts, "host"), _decide(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+
+
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, share: float = SHARE, group_bytes: int = GROUP_BYTES
 ) -> DataFrame:
@@ -362,15 +530,17 @@ def extract(
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = rows.withColumn("host", host)
-    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("bytes"))
+    sizes = written(rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("bytes")), "html-hosts")
     large = sizes.where(F.col("bytes") > group_bytes).select("host", F.ceil(F.col("bytes") / group_bytes).alias("groups"))
     total, many = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count_if(F.col("bytes") > group_bytes)).first()
     # a join by shuffle gives the same where the large hosts aren't few
     dealt = rows.join(F.broadcast(large) if many <= LARGE_HOSTS else large.hint("merge"), "host", "left")
     group = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("groups", F.lit(1).cast("long"))).cast("int")
-    dealt = dealt.select("page_id", "url", "html", "host", group.alias("group"))
+    dealt = dealt.select("page_id", "url", "html", "host", group.alias("group"), "groups")
     kinds = dict(rows.dtypes)
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    together = dealt.repartition(parts, "host", "group").sortWithinPartitions("host", "group")
+    together = dealt.where(F.col("groups").isNull()).drop("groups").repartition(parts, "host", "group").sortWithinPartitions("host", "group")
     out = together.mapInArrow(_extract(run, share), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    if many:
+        out = out.unionByName(_large(dealt.where(F.col("groups").isNotNull()).drop("groups"), large, parts, run, share))
     return out.withColumn("n_chars", F.length("text").cast("long"))
