@@ -24,13 +24,13 @@ probability one; other columns of the input are ignored.
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -49,59 +49,63 @@ PART_TOKENS, LEAST_PARTS, HELD_CODES = 500_000, 16, 2_000_000
 #: Bits of a word's number in a context, and the numbers that aren't common words.
 WORD_BITS = 21
 OTHER, STOP_TEXT, BEGIN, FIRST_WORD = 0, 1, 2, 3
-#: Distinct words that a task counts before it hands them on.
-HELD = 400_000
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Words that a task holds before it counts them and hands the counts on.
+HELD = 3_000_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LOWER).split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order, and of each the number of its text. These kernels know ASCII only, as the definition of words does."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    some = pc.binary_length(words).to_numpy() > 0  # a text that begins or ends in white space has an empty one there
+    return words.filter(pa.array(some)), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[some]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held, size = [], 0
 
     def rows() -> pa.RecordBatch:
-        columns = [pa.array([*counts.keys()], pa.binary()).cast(pa.string()), pa.array([*counts.values()], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+        counts = pc.value_counts(pa.chunked_array(held))
+        return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-        if len(counts) > HELD:
+        held.append(words_of(batch.column("text"))[0])
+        size += len(held[-1])
+        if size > HELD:
             yield rows()
-            counts = Counter()
-    yield rows()
+            held, size = [], 0
+    if held:
+        yield rows()
 
 
 OTHER_CLASSES = FIRST_WORD + COMMON_WORDS
 
 
-class Numbers(dict):
-    """Numbers of the common words; any other word has that of a class of its hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        return OTHER_CLASSES + xxhash.xxh3_64_intdigest(word) % ((1 << WORD_BITS) - OTHER_CLASSES)
-
-
-def word_codes(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its two words before and its symbol as one code, the number of its text, and
-    its symbol. The first token comes after two begin marks."""
-    get = numbers.__getitem__
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 3
-    line = np.empty(int(lengths.sum()), dtype=np.int64)
-    at = 0
-    for words in texts:
-        line[at : at + 2] = BEGIN
-        line[at + 2 : at + 2 + len(words)] = [*map(get, words)]
-        line[at + 2 + len(words)] = STOP_TEXT
-        at += len(words) + 3
+def numbers_of(words: pa.Array, common: pa.Table) -> np.ndarray:
+    """Numbers of words: of the common ones their places, of any other that of a class of its hash."""
+    at = pc.index_in(words, value_set=common.column("word").combine_chunks().cast(words.type))
+    out = pc.fill_null(at, 0).to_numpy().astype(np.int64) + FIRST_WORD
+    others = at.is_null()
+    rare = words.filter(others).dictionary_encode()
+    classes = [OTHER_CLASSES + xxhash.xxh3_64_intdigest(w) % ((1 << WORD_BITS) - OTHER_CLASSES) for w in rare.dictionary.to_pylist()]
+    out[others.to_numpy(zero_copy_only=False)] = np.asarray(classes, dtype=np.int64)[rare.indices.to_numpy()]
+    return out
+
+
+def word_codes(texts: pa.Array, common: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: its two words before and its symbol as one code, and the number of its text. The first token comes after
+    two begin marks."""
+    words, owner = words_of(texts)
+    lengths = np.bincount(owner, minlength=len(texts)) + 3
+    line = np.full(int(lengths.sum()), BEGIN, dtype=np.int64)
+    line[np.arange(len(words)) + 3 * owner + 2] = numbers_of(words, common)
+    line[np.cumsum(lengths) - 1] = STOP_TEXT
     owner = np.repeat(np.arange(len(texts)), lengths)
     last, before = line[1:-1], line[:-2]
     symbol = np.where(line[2:] >= OTHER_CLASSES, OTHER, line[2:])
     use = line[2:] != BEGIN
     code = (before << 2 * WORD_BITS) | (last << WORD_BITS) | symbol
-    return code[use], owner[2:][use], symbol[use]
+    return code[use], owner[2:][use]
 
 
 def packed(codes: np.ndarray, *others: np.ndarray) -> bytes:
@@ -189,14 +193,10 @@ def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.bincount(where, n, minlength=len(code)).astype(np.int64)
 
 
-def numbers_of(common: pa.Table) -> Numbers:
-    return Numbers({w.encode(): FIRST_WORD + k for k, w in enumerate(common.column("word").to_pylist())})
-
-
 def _count_word_codes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, deal = shared.value
-        numbers, held, size = numbers_of(common), [], 0
+        held, size = [], 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             whole = np.concatenate(held)
@@ -205,7 +205,7 @@ def _count_word_codes(shared):
                 yield dealt_rows(part(code), COUNTS, 0, code, n.astype(np.int64))
 
         for batch in batches:
-            held.append(word_codes([words_of(t) for t in batch.column("text").to_pylist()], numbers)[0])
+            held.append(word_codes(batch.column("text"), common)[0])
             size += len(held[-1])
             if size > HELD_CODES:
                 yield from rows()
@@ -391,22 +391,6 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> pa.Table:
     return words.where(F.lit(False) if least is None else F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()
 
 
-class Known:
-    """For each Python worker: numbers of the common words, and base and root scores by number, 0 for others."""
-
-    held: tuple = ("", None)
-
-    @classmethod
-    def of(cls, key: str, names: pa.Table, over: float, single: int, tokens: int) -> tuple[Numbers, np.ndarray, np.ndarray]:
-        if cls.held[0] != key:
-            cls.held = ("", None)  # gone before the next is made
-            n = names.column("n").to_numpy().astype(float)
-            scores = np.zeros((2, 1 << WORD_BITS))
-            scores[:, FIRST_WORD : FIRST_WORD + len(n)] = np.log10((n + 0.5) / over), np.log10(n / (tokens + single))
-            cls.held = key, (numbers_of(names), *scores)
-        return cls.held[1]
-
-
 def root_shares(common: pa.Table, single: int, tokens: int, documents: int) -> np.ndarray:
     """The root probability of each symbol."""
     n = common.column("n").to_numpy().astype(float)
@@ -417,33 +401,29 @@ def root_shares(common: pa.Table, single: int, tokens: int, documents: int) -> n
     return root
 
 
-def signed_hash(word: bytes) -> int:
-    digest = xxhash.xxh64_intdigest(word, 42)
-    return digest - (1 << 64) if digest >> 63 else digest
+def signed_hashes(words: pa.Array) -> pa.Array:
+    rare = words.dictionary_encode()
+    hashes = np.asarray([xxhash.xxh64_intdigest(w, 42) for w in rare.dictionary.to_pylist()], dtype=np.uint64)
+    return pa.array(hashes.view(np.int64)[rare.indices.to_numpy()])
 
 
-def _score(key: str, shared, over: float, single: int, tokens: int):
+def _score(shared, over: float, single: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, base_of, score_of = Known.of(key, shared.value[0], over, single, tokens)
-        get = numbers.__getitem__
+        common = shared.value[0]
+        n = common.column("n").to_numpy().astype(float)
+        scores = np.zeros((2, 1 << WORD_BITS))  # base and root scores by number, 0 for others
+        scores[:, FIRST_WORD : FIRST_WORD + len(n)] = np.log10((n + 0.5) / over), np.log10(n / (tokens + single))
         for batch in batches:
-            n_tokens, n_known, base, score, rare = [], [], [], [], []
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            for words in texts:
-                found = np.asarray([*map(get, words)], dtype=np.int64)
-                others = np.flatnonzero(found >= OTHER_CLASSES).tolist()
-                n_tokens.append(len(words) + 1)
-                n_known.append(len(words) - len(others))
-                base.append(float(base_of[found].sum()))
-                score.append(float(score_of[found].sum()))
-                rare.append([words[k] for k in others])
-            hashes = {w: signed_hash(w) for words in rare for w in words}
+            words, owner = words_of(batch.column("text"))
+            found = numbers_of(words, common)
+            ends = np.cumsum([0, *np.bincount(owner, minlength=batch.num_rows)]).tolist()
+            others = found >= OTHER_CLASSES
+            rare = np.bincount(owner[others], minlength=batch.num_rows)
             columns = {
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "base": pa.array(base, pa.float64()),
-                "score": pa.array(score, pa.float64()),
-                "rare": pa.array([[*map(hashes.__getitem__, words)] for words in rare], pa.list_(pa.int64())),
+                "n_tokens": pa.array(np.diff(ends) + 1, pa.int64()),
+                "n_known": pa.array(np.diff(ends) - rare, pa.int64()),
+                **{c: pa.array([float(of[found[i:j]].sum()) for i, j in pairwise(ends)], pa.float64()) for c, of in zip(("base", "score"), scores, strict=True)},
+                "rare": pa.ListArray.from_arrays(np.cumsum([0, *rare]).astype(np.int32), signed_hashes(words.filter(pa.array(others)))),
             }
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *columns.values()], names=["doc_id", "rid", *columns])
 
@@ -455,7 +435,7 @@ def _ask(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, deal = shared.value
-        numbers, task = numbers_of(common), TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId() << 32
         codes, slots, keys, number, size = [], [], [], 0, 0
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -465,7 +445,7 @@ def _ask(shared):
             yield dealt_rows(np.full(len(rid), number % deal.parts), ROWS, task + number, np.arange(len(rid)), rid)
 
         for batch in batches:
-            code, owner, _ = word_codes([words_of(t) for t in batch.column("text").to_pylist()], numbers)
+            code, owner = word_codes(batch.column("text"), common)
             codes.append(code)
             slots.append(owner + sum(map(len, keys)))
             keys.append(batch.column("rid").to_numpy())
@@ -553,7 +533,7 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
     shared = spark.sparkContext.broadcast((corpus.common, corpus.deal))  # at most COMMON_WORDS words, 2 ** WORD_BITS numbers
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<long>"
-    run = _score(uuid.uuid4().hex, shared, over, max(corpus.single, 1), corpus.tokens)
+    run = _score(shared, over, max(corpus.single, 1), corpus.tokens)
     found = written(rows.select("doc_id", "rid", "text").mapInArrow(run, schema), "pst-rows")
     gains = text_gains(rows, corpus, shared)
     shared.destroy()  # or workers would keep it
