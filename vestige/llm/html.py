@@ -16,10 +16,11 @@ whole, at the beginning or the end of the article. A page that would lose over t
 tokens so is a near copy of others, and loses none.
 
 A host of more than ``GROUP_BYTES`` gives the same, by an array for each group of its pages. Of the groups that
-have a page's stream one counts it, so counts add up. Substrings on half of SHARE of a group's pages are reported; any other is on less than
-that of each group, so sums of reports bound each count. Where the bounds leave a verdict open, the groups count those substrings by
-name. A name is 64 bits of hash of RUN tokens. Verdicts then go to every group. Per host no more is open than some 7 pages
-have of tokens, so no group and no verdict grows with the host.
+have a page's stream one counts it, so counts add up. Substrings on half of SHARE of a group's pages are
+reported; any other is on less than that of each group, so sums of reports bound each count. Where the bounds
+leave a verdict open, the groups count those substrings by name, 64 bits of hash of RUN tokens. Verdicts then go
+to every group. Per host no more is open than some 7 pages have of tokens, so no group and no verdict grows with
+the host.
 
 Defined results: null and empty pages give an empty text; a null url is a host of its own name;
 repeated rows give equal results and count as one page, as do pages of equal tokens; other columns
